@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from marlstone.llm import bpe, dac, quality, toxicity
+from marlstone.llm import bpe, dac, media, mixing, quality, toxicity
 from marlstone.llm._shared import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -26,6 +26,14 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.digest_media(media.store_texts(table(spark, sf_dir, "documents")))
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
@@ -35,6 +43,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op3_toxicity": op3_toxicity,
     "op4_token_files": op4_token_files,
+    "op5_media": op5_media,
+    "op6_mixing": op6_mixing,
     "op9_quality": op9_quality,
 }
 
