@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from marlstone.llm import bpe, dac, media, mixing, quality, toxicity
+from marlstone.llm import bpe, dac, media, mixing, neardup, quality, toxicity
 from marlstone.llm._shared import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -39,6 +39,10 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.link(table(spark, sf_dir, "documents"), k=3, percent=85)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op3_toxicity": op3_toxicity,
@@ -46,6 +50,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_media": op5_media,
     "op6_mixing": op6_mixing,
     "op9_quality": op9_quality,
+    "op10_neardup": op10_neardup,
 }
 
 ORACLE_SQL: dict[str, str] = {}
