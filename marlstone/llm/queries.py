@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from marlstone.llm import bpe, dac, media, mixing, neardup, quality, toxicity, warc
+from marlstone.llm import bpe, dac, html_extract, media, mixing, neardup, quality, toxicity, warc
 from marlstone.llm._shared import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -38,6 +38,10 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.main_text(table(spark, sf_dir, "pages"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
@@ -54,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_files": op4_token_files,
     "op5_media": op5_media,
     "op6_mixing": op6_mixing,
+    "op7_html": op7_html,
     "op9_quality": op9_quality,
     "op10_neardup": op10_neardup,
 }
