@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from marlstone.llm import bpe, dac, html_extract, media, mixing, neardup, quality, toxicity, warc
+from marlstone.llm import ann, bpe, dac, html_extract, media, mixing, neardup, quality, toxicity, warc
 from marlstone.llm._shared import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -42,6 +42,10 @@ def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.main_text(table(spark, sf_dir, "pages"))
 
 
+def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), k=20, every=20)
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
@@ -59,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_media": op5_media,
     "op6_mixing": op6_mixing,
     "op7_html": op7_html,
+    "op8_ann": op8_ann,
     "op9_quality": op9_quality,
     "op10_neardup": op10_neardup,
 }
