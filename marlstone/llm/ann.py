@@ -185,7 +185,7 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, shard_rows: int = 1
     shards = F.create_map(*[F.lit(x) for d, n in counted.items() for x in (d, max(1, -(-n // shard_rows)))])
     spread = rows.withColumn("shards", shards[F.col("dim")])
     stored = spread.withColumn("shard", F.pmod(F.xxhash64("id"), F.col("shards")).cast("int")).withColumn("query", F.lit(False))
-    asked = spread.where(F.col("id") % every == 0).withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).cast("int")).withColumn("query", F.lit(True))
+    asked = spread.where(F.col("id") % every == 0).withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1))).withColumn("query", F.lit(True))
     columns = ["dim", "shard", "query", "id", "v"]
     dealt = stored.select(*columns).unionByName(asked.select(*columns)).repartition("dim", "shard").sortWithinPartitions("dim", "shard", "query", "id")
 
