@@ -1 +1 @@
-
+"""Query operators over semi-structured values."""
