@@ -10,6 +10,7 @@ import zlib
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def digest(data: Column, kind: str = "sha256") -> Column:
@@ -31,7 +32,7 @@ def hmac(data: Column, key: bytes, kind: str = "sha256") -> Column:
     return digest(F.concat(F.lit(_xor_pad(key, block, 0x5C)), F.unhex(inner)), kind)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def hmac_keyed(data: pd.Series, key: pd.Series, kind: pd.Series) -> pd.Series:
     """Keyed digest with a key from a column."""
     return pd.Series([None if d is None or k is None else _hmac.new(k, d, n).hexdigest() for d, k, n in zip(data, key, kind, strict=True)], dtype=object)

@@ -8,12 +8,13 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StringType
 
 _LABEL = r"[A-Za-z0-9](?:[A-Za-z0-9\-]{0,61}[A-Za-z0-9])?"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _IPV4 = rf"{_OCTET}(?:\.{_OCTET}){{3}}"
 _ATOM = r"[A-Za-z0-9!#$%&'*+/=?^_`{|}~\-]+"
-_LOCAL = rf'(?:{_ATOM}(?:\.{_ATOM})*|"(?:[^"\\\x00-\x1F\x7F-￿]|\\[\x20-\x7E])*")'
+_LOCAL = rf'(?:{_ATOM}(?:\.{_ATOM})*|"(?:[ !#-\[\]-~]|\\[ -~])*")'
 
 
 def _ipv6_pattern() -> str:
@@ -54,7 +55,7 @@ def is_ipv6(text: Column) -> Column:
     return F.coalesce(text.rlike(_IPV6), F.lit(False))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def ipv6_canonical(text: pd.Series) -> pd.Series:
     """Shortest lower-case form of RFC 5952; null if the text is no address."""
 
@@ -96,7 +97,7 @@ def _joiner_ok(label: str, i: int) -> bool:
     """RFC 5892, appendix A: a joiner follows a virama; the non-joiner may also stand between joining letters."""
     if i and unicodedata.combining(label[i - 1]) == 9:
         return True
-    if label[i] == "‍":
+    if label[i] == "\u200d":
         return False
     cursive = lambda c: unicodedata.category(c) == "Lo" and any(s in unicodedata.name(c, "") for s in ("ARABIC", "SYRIAC", "MONGOLIAN", "NKO", "MANDAIC"))
     left = [c for c in label[:i] if not unicodedata.combining(c)]
@@ -126,7 +127,7 @@ def idn_label(label: str) -> bool:
         elif c == "・":
             if not any(unicodedata.name(x, "").startswith(("HIRAGANA", "KATAKANA LETTER", "CJK")) for x in label):
                 return False
-        elif c in "‌‍":
+        elif c in "\u200c\u200d":
             if not _joiner_ok(label, i):
                 return False
         elif c in "〮〯ـߺ〱〲〳〴〵〻":
@@ -150,12 +151,12 @@ def idn_host(text: str) -> bool:
     return bool(name) and all(map(idn_label, name.split("."))) and len(name) <= 255
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(BooleanType())
 def is_idn_hostname(text: pd.Series) -> pd.Series:
     return text.map(lambda t: t is not None and idn_host(t)).astype(bool)
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(BooleanType())
 def is_idn_email(text: pd.Series) -> pd.Series:
     """A mailbox whose local part and domain may hold letters beyond ASCII."""
     import re

@@ -131,7 +131,7 @@ def removing(uri: Column, *names: str) -> Column:
 
 #: What may stand in a URI, and in an IRI besides.
 _CHARS = r"(?:[A-Za-z0-9\-._~!$&'()*+,;=:@/?\[\]]|%[0-9A-Fa-f]{2})"
-_ICHARS = r"(?:[A-Za-z0-9\-._~!$&'()*+,;=:@/?\[\] -퟿-﷏ﷰ-￯\x{10000}-\x{EFFFD}]|%[0-9A-Fa-f]{2})"
+_ICHARS = r"(?:[A-Za-z0-9\-._~!$&'()*+,;=:@/?\[\]\x{A0}-\x{D7FF}\x{F900}-\x{FDCF}\x{FDF0}-\x{FFEF}\x{10000}-\x{EFFFD}]|%[0-9A-Fa-f]{2})"
 _AUTHORITY = r"^(?:[^@\[\]]*@)?(?:\[(?:[0-9A-Fa-f:.]+|[vV][0-9A-Fa-f]+\.[A-Za-z0-9\-._~!$&'()*+,;=:]+)\]|[^:@\[\]]*)(?::\d*)?$"
 
 
