@@ -140,17 +140,25 @@ def put(document: Column, pointer: str | Pointer, new: Column | None) -> Column:
     """JSON text with another JSON value at a pointer; without a value, the place is removed."""
     p = pointer if isinstance(pointer, Pointer) else Pointer.parse(pointer)
 
+    def one(d: str | None, v: str | None) -> str | None:
+        try:
+            return None if d is None else write(p.put(read(d), NOTHING if v is None else read(v)))
+        except ValueError:
+            return None
+
+    if new is None:
+
+        @F.pandas_udf("string")
+        def removed(docs: pd.Series) -> pd.Series:
+            return pd.Series([one(d, None) for d in docs], dtype=object)
+
+        return removed(document)
+
     @F.pandas_udf("string")
     def run(docs: pd.Series, values: pd.Series) -> pd.Series:
-        def one(d: str | None, v: str | None) -> str | None:
-            try:
-                return None if d is None else write(p.put(read(d), NOTHING if v is None else read(v)))
-            except ValueError:
-                return None
-
-        return pd.Series([one(d, v) for d, v in zip(docs, values, strict=True)], dtype=object)
+        return pd.Series([one(d, None if v is None or v != v else v) for d, v in zip(docs, values, strict=True)], dtype=object)
 
-    return run(document, new if new is not None else F.lit(None).cast("string"))
+    return run(document, new)
 
 
 def is_pointer(text: Column) -> Column:

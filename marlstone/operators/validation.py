@@ -20,6 +20,7 @@ from marlstone.operators.json import json_kind, parse
 from marlstone.operators.values import read
 from marlstone.plans import schema as S
 from marlstone.plans.jsonpath import i_regexp
+from marlstone.plans.path_columns import bind
 
 NUMBER = "decimal(38,12)"
 
@@ -46,8 +47,8 @@ def _same_scalar(v: Column, value: Any) -> Column:
         return (json_kind(v) == "bool") & (F.try_variant_get(v, "$", "boolean") == value)
     if isinstance(value, str):
         return (json_kind(v) == "string") & (F.try_variant_get(v, "$", "string") == value)
-    if isinstance(value, (int, Decimal)):
-        return (json_kind(v) == "number") & (_number(v) == F.lit(Decimal(value)).cast(NUMBER))
+    if isinstance(value, (int, float, Decimal)):
+        return (json_kind(v) == "number") & (_number(v) == F.lit(_decimal(value)).cast(NUMBER))
     raise Uncovered("const of an array or object")
 
 
@@ -62,12 +63,16 @@ def _compile(schema: Any, v: Column) -> Column:
     """Whether a VARIANT (not null) fits; true or false, never null."""
     if isinstance(schema, bool):
         return F.lit(schema)
-    return _fold([t for _, t in rules(schema, v)], True)
+    return bind(v, lambda x: bind(json_kind(x), lambda k: _fold([t for _, t in rules(schema, x, k)], True)))
 
 
-def rules(schema: Any, v: Column) -> list[tuple[str, Column]]:
+def _decimal(value: Any) -> Decimal:
+    return Decimal(str(value))
+
+
+def rules(schema: Any, v: Column, k: Column | None = None) -> list[tuple[str, Column]]:
     """(keyword, whether it holds) of each asserting keyword of a schema. Raises Uncovered."""
-    k = json_kind(v)
+    k = json_kind(v) if k is None else k
     number, text = _number(v), F.try_variant_get(v, "$", "string")
     items, members = F.try_variant_get(v, "$", "array<variant>"), F.when(k == "object", F.try_variant_get(v, "$", "map<string,variant>"))
     names = F.map_keys(members)
@@ -75,20 +80,20 @@ def rules(schema: Any, v: Column) -> list[tuple[str, Column]]:
 
     def rule(word: str, of: str | None, test: Column) -> None:
         held = F.coalesce(test, F.lit(False))
-        out.append((word, held if of is None else (k != of) | held))
+        out.append((word, held if of is None else ~k.eqNullSafe(F.lit(of)) | held))
 
     limits = {"minimum": ("number", number, "__ge__"), "maximum": ("number", number, "__le__"), "exclusiveMinimum": ("number", number, "__gt__"), "exclusiveMaximum": ("number", number, "__lt__"), "minLength": ("string", F.char_length(text), "__ge__"), "maxLength": ("string", F.char_length(text), "__le__"), "minItems": ("array", F.size(items), "__ge__"), "maxItems": ("array", F.size(items), "__le__"), "minProperties": ("object", F.size(members), "__ge__"), "maxProperties": ("object", F.size(members), "__le__")}
     member = lambda n: F.try_element_at(members, F.lit(n))
     for word, value in schema.items():
         if word in limits:
             of, measure, op = limits[word]
-            rule(word, of, getattr(measure, op)(F.lit(Decimal(value)).cast(NUMBER)))
+            rule(word, of, getattr(measure, op)(F.lit(_decimal(value)).cast(NUMBER)))
         elif word == "type":
             rule(word, None, _fold([_is(v, n) for n in ([value] if isinstance(value, str) else value)], False))
         elif word in ("enum", "const"):
             rule(word, None, _fold([_same_scalar(v, x) for x in (value if word == "enum" else [value])], False))
         elif word == "multipleOf":
-            rule(word, "number", F.lit(False) if value == 0 else number % F.lit(Decimal(value)).cast("decimal(20,6)") == 0)
+            rule(word, "number", F.lit(False) if value == 0 else number % F.lit(_decimal(value)).cast("decimal(20,6)") == 0)
         elif word == "pattern":
             rule(word, "string", text.rlike(i_regexp(value)))
         elif word == "required":
@@ -98,7 +103,7 @@ def rules(schema: Any, v: Column) -> list[tuple[str, Column]]:
                 rule(word, "object", ~F.array_contains(names, n) | (F.size(F.array_except(F.array(*map(F.lit, needs)).cast("array<string>"), names)) == 0))
         elif word == "properties":
             for n, s in value.items():
-                rule(f"{word}/{n}", "object", member(n).isNull() | _compile(s, member(n)))
+                rule(f"{word}/{n}", "object", member(n).isNull() | F.coalesce(_compile(s, member(n)), F.lit(False)))
         elif word == "additionalProperties" and value is False:
             known = F.array(*map(F.lit, schema.get("properties", {}))).cast("array<string>")
             rest = F.array_except(names, known)
@@ -173,8 +178,8 @@ def is_valid(text: Column, schema: Any, options: S.Options | None = None, others
     document = read(schema) if isinstance(schema, str) else schema
     if options is None and not others:
         try:
-            v = parse(text)
-            return F.when(text.isNull(), F.lit(None).cast("boolean")).otherwise(v.isNotNull() & F.coalesce(_compile(document, v), F.lit(False)))
+            fits = bind(parse(text), lambda v: v.isNotNull() & F.coalesce(_compile(document, v), F.lit(False)))
+            return F.when(text.isNotNull(), fits)
         except Uncovered:
             pass
     built = S.Schema(document, others, options)

@@ -6,8 +6,21 @@ import json
 from decimal import Decimal
 from typing import Any
 
-#: Stands for the absence of a value, which is not null.
-NOTHING = type("Nothing", (), {"__repr__": lambda self: "NOTHING", "__bool__": lambda self: False})()
+
+class Nothing:
+    """The absence of a value, which is not null; there is one, wherever it is sent."""
+
+    def __repr__(self) -> str:
+        return "NOTHING"
+
+    def __bool__(self) -> bool:
+        return False
+
+    def __reduce__(self) -> str:
+        return "NOTHING"
+
+
+NOTHING = Nothing()
 
 
 def _no_constant(name: str) -> Any:

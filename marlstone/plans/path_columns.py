@@ -24,6 +24,11 @@ class Unsupported(ValueError):
     """A path that has no expression over VARIANT; marlstone.operators.json evaluates it in Python."""
 
 
+def bind(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once, however often f uses it."""
+    return F.get(F.transform(F.array(value), lambda x: f(x)), F.lit(0))
+
+
 def _none() -> Column:
     return F.array().cast(EMPTY)
 
@@ -205,7 +210,7 @@ def _holds(t: Any, current: Column, root: Column) -> Column:
 def compile_nodes(path: str | Path, document: Column) -> Column:
     """ARRAY<VARIANT> of a path's nodes in a VARIANT column; empty for a null document. Raises Unsupported."""
     p = path if isinstance(path, Path) else Path(path)
-    return F.when(document.isNotNull(), _nodes(p.query, document, document)).otherwise(_none())
+    return bind(document, lambda root: F.when(root.isNotNull(), _nodes(p.query, root, root)).otherwise(_none()))
 
 
 def compile_value(path: str | Path, document: Column) -> Column:
@@ -213,4 +218,4 @@ def compile_value(path: str | Path, document: Column) -> Column:
     p = path if isinstance(path, Path) else Path(path)
     if not p.query.singular:
         raise Unsupported(f"{p.text} may lead to several places")
-    return _one(p.query, document, document)
+    return _one(p.query, document, document) if all(isinstance(s.selectors[0], Name) for s in p.query.segments) else bind(document, lambda root: _one(p.query, root, root))

@@ -1 +1 @@
-
+"""The same expressions on streams."""
