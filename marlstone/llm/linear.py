@@ -55,7 +55,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows_per_cla
 
 
 def choose_features(sample: DataFrame, featuriser: Featuriser, most: int, least_rows: int, least_z: float) -> list[str]:
-    """The features whose presence differs most between the classes, by the z score of their log odds ratio."""
+    """The features whose presence differs most between the classes, by the root of the likelihood ratio, which is a z score."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
@@ -70,9 +70,13 @@ def choose_features(sample: DataFrame, featuriser: Featuriser, most: int, least_
     if not t0 or not t1:
         return []
     n0, n1 = F.col("n0"), F.col("n1")
-    odds = lambda n, t: (n + 0.5) / (F.lit(float(t)) - n + 0.5)
-    error = F.sqrt(1 / (n0 + 0.5) + 1 / (t0 - n0 + 0.5) + 1 / (n1 + 0.5) + 1 / (t1 - n1 + 0.5))
-    z = F.abs(F.log(odds(n1, t1)) - F.log(odds(n0, t0))) / error
+    share = (n0 + n1) / F.lit(float(t0 + t1))
+
+    def part(seen: Column, expected: Column) -> Column:
+        return F.when(seen > 0, seen * F.log(seen / expected)).otherwise(F.lit(0.0))
+
+    g = part(n0, t0 * share) + part(n1, t1 * share) + part(t0 - n0, t0 * (1 - share)) + part(t1 - n1, t1 * (1 - share))
+    z = F.sqrt(F.greatest(2 * g, F.lit(0.0)))
     counted = sample.mapInArrow(count, "feature string, n0 bigint, n1 bigint").groupBy("feature").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     best = counted.where(n0 + n1 >= least_rows).withColumn("z", z).where(F.col("z") >= least_z).orderBy(F.desc("z"), "feature").limit(most)
     return [r["feature"] for r in best.collect()]

@@ -71,7 +71,7 @@ def features(text: str) -> Counter:
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows_per_class: int = 5_000, max_chars: int = 50_000, max_features: int = 2_000, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Fit on at most rows_per_class labelled rows of each class, of texts of at most max_chars characters."""
     sample, counts = labelled_sample(docs, labels, label, rows_per_class, max_chars, id_col, text_col)
-    return fit(sample, counts, features, choose_features(sample, features, max_features, least_rows=5, least_z=2.0), l2=1.0)
+    return fit(sample, counts, features, choose_features(sample, features, max_features, least_rows=5, least_z=3.0), l2=1.0)
 
 
 def evidence(docs: DataFrame, model: Model, id_col: str, text_col: str, site_col: str, path_col: str) -> DataFrame:
