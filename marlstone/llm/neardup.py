@@ -9,9 +9,9 @@
    compared sixteen minima at a time; it is dropped once the posterior probability that its
    similarity reaches the threshold is below `miss` (uniform prior). Survivors are confirmed on
    their full sets. So a bucket of n copies costs n pairs.
-4. Buckets that hold more than one component after that are searched for pairs between
-   different components, in blocks, by the same sequential test; survivors are confirmed on
-   their full sets and components are found again. No bucket is capped and no pair is dropped
+4. Buckets that hold more than one component after that are searched, in blocks, for pairs
+   between different components, by the same sequential test and on full sets beside the
+   members; no row is written for a pair. Components are found again with these links. No bucket is capped and no pair is dropped
    but by the tests above.
 
 Lower-casing is of A-Z alone; words are runs of bytes other than blanks and 09-0D. A text with
@@ -39,12 +39,12 @@ from marlstone.llm.components import components
 
 MINIMA = 128
 STEP = 16
-BLOCK = 1024
+BLOCK = 384
 
 _rng = np.random.default_rng(20)
 _FACTORS = (_rng.integers(1 << 31, size=MINIMA, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
 _OFFSETS = _rng.integers(1 << 32, size=MINIMA, dtype=np.uint32)
-_words = Memo(xxhash.xxh3_64_intdigest, 300_000)
+_words = Memo(xxhash.xxh3_64_intdigest, 150_000)
 
 
 def shingles(text: bytes, k: int) -> np.ndarray:
@@ -167,17 +167,23 @@ def _plausible(pairs: DataFrame, classes: DataFrame, least: list[int]) -> DataFr
     return rows.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a bigint, b bigint")
 
 
-def _confirm(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, percent: int, id_col: str, text_col: str, broadcast_rows: int = 1_000_000) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the similarity, exactly; as links (u, v).
+def _texts_of(ids: DataFrame, docs: DataFrame, classes: DataFrame, id_col: str, text_col: str, broadcast_rows: int) -> DataFrame:
+    """(id, text, digest) of the classes whose ids are given.
 
-    Only texts of paired documents move: their ids are broadcast to the scan if they are at most
-    broadcast_rows (8 bytes each), else they meet it in a shuffled join.
+    Only these texts move: the ids are broadcast to the scan if they are at most broadcast_rows
+    (8 bytes each), else they meet it in a shuffled join. The class's digest tells which row is
+    meant if several share an id.
     """
-    ids = materialise(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "paired")
+    ids = materialise(ids.distinct(), "wanted")
     wanted = F.broadcast(ids) if ids.count() <= broadcast_rows else ids
     texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).join(wanted, "id", "left_semi")
-    # The class's digest tells which row is meant if several share an id.
-    texts = materialise(texts.join(classes.select(F.col("rep").alias("id"), "digest"), "id"), "texts")
+    return texts.join(classes.select(F.col("rep").alias("id"), "digest"), "id")
+
+
+def _confirm(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, percent: int, id_col: str, text_col: str, broadcast_rows: int = 1_000_000) -> DataFrame:
+    """The pairs (a, b) whose full sets reach the similarity, exactly; as links (u, v)."""
+    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id")))
+    texts = materialise(_texts_of(ids, docs, classes, id_col, text_col, broadcast_rows), "texts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         recent: dict[bytes, np.ndarray] = {}
@@ -229,41 +235,76 @@ def groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _between_components(members: DataFrame, found: DataFrame, classes: DataFrame, percent: int, least: list[int]) -> DataFrame:
-    """Plausible pairs (a, b) of different components within a bucket; every such pair is looked at once.
+def _between_components(members: DataFrame, found: DataFrame, docs: DataFrame, classes: DataFrame, k: int, percent: int, bands: int, rows_per_band: int, least: list[int], id_col: str, text_col: str, broadcast_rows: int = 1_000_000) -> DataFrame:
+    """Links (u, v) between different components within a bucket, confirmed on full sets; every such pair is looked at.
 
     Buckets with the same members count once. A bucket of more than BLOCK members is cut into
     blocks by a hash of the member, and each pair of blocks is a group of its own, so no group
-    exceeds two blocks.
+    exceeds two blocks. Sets travel with the members and pairs are made and tested inside a
+    group, so no row is written for a pair; of a member's links to one component, which all say
+    the same, a group gives the closest.
     """
     labelled = members.join(found.withColumnsRenamed({"node": "rep"}), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    labelled = materialise(labelled.select("key", "rep", "n", "component"), "labelled")
+    labelled = materialise(labelled.select("key", "rep", "component"), "labelled")
     mixed = labelled.groupBy("key").agg(F.count("*").alias("size"), F.min("component").alias("low"), F.max("component").alias("high"), F.sum(F.xxhash64(F.lit(1), "rep").cast("decimal(20,0)")).alias("h1"), F.sum(F.xxhash64(F.lit(2), "rep").cast("decimal(20,0)")).alias("h2")).where("low < high")
     mixed = mixed.groupBy("size", "h1", "h2").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-    rows = labelled.join(mixed, "key").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "n", "component").join(classes.select("rep", "sig"), "rep")
-    rows = rows.select("key", "i", "j", "own", "rep", "n", "component", "sig").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    rows = materialise(labelled.join(mixed, "key"), "mixed")
+
+    def full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "text"):
+            found = [shingles(t, k).tobytes() for t in as_bytes(b.column(1))]
+            keep = pa.array([xxhash.xxh3_128_digest(s) == d for s, d in zip(found, b.column(2).to_pylist(), strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.binary())], ["rep", "full"]).filter(keep)
+
+    texts = _texts_of(rows.select(F.col("rep").alias("id")), docs, classes, id_col, text_col, broadcast_rows)
+    sets = materialise(texts.mapInArrow(full_sets, "rep bigint, full binary").dropDuplicates(["rep"]), "sets")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "component").join(sets, "rep")
+    rows = rows.select("key", "i", "j", "own", "rep", "component", "full").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in groups(batches, 3):
-            own, rep, n, component = (t.column(c).to_numpy() for c in ("own", "rep", "n", "component"))
-            sig = _matrix(t.column("sig").combine_chunks())
+            own, rep, component = (t.column(c).to_numpy() for c in ("own", "rep", "component"))
             crossed = t.column("i")[0].as_py() != t.column("j")[0].as_py()
-            out_a, out_b = [], []
-            for x in range(len(rep)):
-                # own < own: a pair of different blocks; within a block, each pair once
-                other = (own > own[x]) if crossed else (np.arange(len(rep)) > x)
-                other &= (component != component[x]) & (100 * np.minimum(n, n[x]) >= percent * np.maximum(n, n[x]))
+            names, of, sizes = np.unique(component, return_inverse=True, return_counts=True)
+            if len(names) < 2:
+                continue
+            sets = [np.frombuffer(x, np.uint64) for x in t.column("full").to_pylist()]
+            n = np.array([len(x) for x in sets])
+            sig = np.stack([signature(x) for x in sets])
+            keys, own_key = band_keys(sig, bands, rows_per_band), t.column("key")[0].as_py()
+            # Numbers for the shingles of this group, members one after another.
+            values, flat = np.unique(np.concatenate(sets), return_inverse=True)
+            starts = np.concatenate([[0], np.cumsum(n)[:-1]])
+            marked = np.zeros(len(values), bool)
+            # Pairs of different components all have a member outside the largest one.
+            out: list[tuple[int, int]] = []
+            for x in np.flatnonzero(of != np.argmax(sizes)):
+                other = (of != of[x]) & (100 * np.minimum(n, n[x]) >= percent * np.maximum(n, n[x]))
+                if crossed:
+                    other &= own != own[x]
                 y = np.flatnonzero(other)
+                # Of the buckets that two members share, the one of the smallest key sees to the pair.
+                shared = np.where(keys[y] == keys[x], keys[x], np.iinfo(np.int64).max).min(axis=1)
+                y = y[shared == own_key]
                 if len(y):
                     y = y[survivors(np.broadcast_to(sig[x], (len(y), MINIMA)), sig[y], least)]
-                    out_a.extend(np.maximum(rep[y], rep[x]).tolist())
-                    out_b.extend(np.minimum(rep[y], rep[x]).tolist())
-            if out_a:
-                yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
+                if not len(y):
+                    continue
+                own_shingles = flat[starts[x] : starts[x] + n[x]]
+                marked[own_shingles] = True
+                common = np.add.reduceat(marked[flat], starts, dtype=np.int64)[y]
+                marked[own_shingles] = False
+                union = n[x] + n[y] - common
+                linked = (common > 0) & (100 * common >= percent * union)
+                best: dict[int, tuple[float, int]] = {}
+                for z, c, u in zip(y[linked].tolist(), common[linked].tolist(), union[linked].tolist(), strict=True):
+                    best[of[z]] = max(best.get(of[z], (0.0, -int(rep[z]))), (c / u, -int(rep[z])))
+                out.extend((int(rep[x]), -z) for _, z in best.values())
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in out], pa.int64()), pa.array([p[1] for p in out], pa.int64())], ["u", "v"])
 
-    return rows.mapInArrow(run, "a bigint, b bigint").distinct()
+    return rows.mapInArrow(run, "u bigint, v bigint")
 
 
 def link(docs: DataFrame, k: int = 5, percent: int = 80, miss: float = 1e-6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -283,9 +324,8 @@ def link(docs: DataFrame, k: int = 5, percent: int = 80, miss: float = 1e-6, id_
     links = materialise(_confirm(plausible, docs, classes, k, percent, id_col, text_col), "links")
     found = materialise(components(links), "components")
 
-    rest = materialise(_between_components(members, found, classes, percent, least).join(plausible, ["a", "b"], "left_anti"), "rest")
-    if rest.head(1):
-        more = materialise(_confirm(rest, docs, classes, k, percent, id_col, text_col), "links")
+    more = materialise(_between_components(members, found, docs, classes, k, percent, bands, rows, least, id_col, text_col), "links")
+    if more.head(1):
         found = materialise(components(found.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more)), "components")
 
     of_class = classes.select("digest", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
