@@ -16,7 +16,9 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from array import array
 from collections.abc import Callable, Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +32,7 @@ from marlstone.llm._shared import slices
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
+_MARKS = frozenset(".,;:!?")
 _CHUNK = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
 _ODD_SPACE = re.compile("[\t\x0b-\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _PIECES = regex.compile(PIECES.replace(r"[^\s\p{L}\p{N}]", rf"[^{SPACE}\p{{L}}\p{{N}}]").replace(r"\s", f"[{SPACE}]").replace(r"\S", f"[^{SPACE}]"))
@@ -55,15 +58,23 @@ class Memo(dict):
 
 
 class Chunker:
-    """Joins what `make` gives, as bytes, for each chunk of a text.
+    """Joins what `make` gives, as bytes, for each pre-token of a text; results are remembered by chunk.
 
     Chunks end where white space follows something else; no pre-token crosses such a place. Where
     every white space is a lone blank or line feed, str.split finds them; else a pattern does.
     """
 
-    def __init__(self, make: Callable[[str], bytes], remember: int = 300_000):
-        self.exact = Memo(make, remember // 4)
-        self.blank = Memo(lambda part: make(part if part[:1] == "\n" else " " + part), remember)
+    def __init__(self, make: Callable[[str], bytes], remember: int):
+        self.make = make
+        self.exact = Memo(self._learn, remember // 4)
+        self.blank = Memo(lambda part: self._learn(part if part[:1] == "\n" else " " + part), remember)
+
+    def _learn(self, chunk: str) -> bytes:
+        parts = pieces(chunk)
+        if len(parts) == 1:
+            return self.make(chunk)
+        # A piece that begins with a blank is a chunk itself, and known as such.
+        return b"".join([self.blank[p[1:]] if p[0] == " " and p[1:2] not in ("", "\n") else self.exact[p] for p in parts])
 
     def __call__(self, text: str) -> bytes:
         if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or _ODD_SPACE.search(text):
@@ -74,6 +85,13 @@ class Chunker:
 
 
 def pieces(chunk: str) -> list[str]:
+    """Pre-tokens of a chunk; plain words, with or without a mark behind them, need no pattern."""
+    first = chunk[:1]
+    body = chunk[1:] if first == " " or first == "\n" else chunk
+    if body.isalpha():
+        return [chunk] if first != "\n" else ["\n", body]
+    if body[-1:] in _MARKS and body[:-1].isalpha():
+        return [chunk[:-1], body[-1]] if first != "\n" else ["\n", body[:-1], body[-1]]
     return _PIECES.findall(chunk)
 
 
@@ -91,14 +109,18 @@ class MergeTree:
         self.ids, self.ranks, self.made = ids, ranks, made
         self.pairs = len(ids) - 1
         self.width = 1 << max(0, self.pairs - 1).bit_length()
-        self.never = (len(made) + 1) * self.width
+        self.never = never = (len(made) + 1) * self.width
         self.next = list(range(1, len(ids) + 1))
         self.last = list(range(-1, len(ids) - 1))
-        self.tree = [self.never] * (2 * self.width)
-        for i in range(self.pairs):
-            self.tree[self.width + i] = self.key(i, i + 1)
-        for i in range(self.width - 1, 0, -1):
-            self.tree[i] = min(self.tree[2 * i], self.tree[2 * i + 1])
+        width, found = self.width, map(ranks.get, zip(ids, ids[1:], strict=False))
+        level = [never if r is None else r * width + i for i, r in enumerate(found)] + [never] * (width - self.pairs)
+        levels = [level]
+        while len(level) > 1:
+            level = list(map(min, level[::2], level[1::2]))
+            levels.append(level)
+        self.tree = [never]
+        for level in reversed(levels):
+            self.tree += level
 
     def key(self, i: int, j: int) -> int:
         rank = self.ranks.get((self.ids[i], self.ids[j]))
@@ -110,7 +132,10 @@ class MergeTree:
         while i > 1:
             i >>= 1
             a, b = tree[2 * i], tree[2 * i + 1]
-            tree[i] = a if a < b else b
+            least = a if a < b else b
+            if tree[i] == least:
+                return  # nothing changes above
+            tree[i] = least
 
     def run(self) -> tuple[int, ...]:
         ids, n = self.ids, len(self.ids)
@@ -139,7 +164,7 @@ class MergeTree:
 class Codec:
     """Encoder and decoder of a tokenizer file: byte-level BPE with added tokens."""
 
-    def __init__(self, path: str, remember: int = 300_000):
+    def __init__(self, path: str, remember: int = 200_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -163,20 +188,16 @@ class Codec:
             self.bytes_of[i] = text.encode()
         self.digits = [str(i) for i in range(size)]
         self._added = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
-        self._pieces = Memo(self.merge, remember)
-        self._ids = Chunker(self._learn, remember)
+        self._ids = Chunker(self.merge, remember)
 
-    def merge(self, piece: str) -> tuple[int, ...]:
-        """Ids of one pre-token."""
+    def merge(self, piece: str) -> bytes:
+        """Ids of one pre-token, as 32-bit integers."""
         first = self.first
         ids = [first[b] for b in piece.encode()]
-        return tuple(ids) if len(ids) < 2 else MergeTree(ids, self.ranks, self.made).run()
-
-    def _learn(self, chunk: str) -> bytes:
-        return np.array([i for piece in pieces(chunk) for i in self._pieces[piece]], "<u4").tobytes()
+        return array("I", ids if len(ids) < 2 else MergeTree(ids, self.ranks, self.made).run()).tobytes()
 
     def _plain(self, text: str) -> list[int]:
-        return np.frombuffer(self._ids(text), "<u4").tolist()
+        return np.frombuffer(self._ids(text), "u4").tolist()
 
     def encode(self, text: str | None) -> list[int]:
         """Ids of a text; the strings of added tokens become their ids."""

@@ -23,6 +23,7 @@ import os
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 from itertools import chain
 
@@ -34,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.llm._shared import materialise, scratch_path, slices
-from marlstone.llm.bpe import Chunker, Memo, byte_letters, pieces
+from marlstone.llm.bpe import Chunker, byte_letters
 
 MAGIC = b"DACTOKS1"
 RANK_BITS = 512
@@ -199,19 +200,18 @@ class LibraryEncoder:
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.letters = dict(enumerate(byte_letters()))
         self.model = self.tokenizer.model
-        self._pieces = Memo(self._ask, remember)
-        self._ids = Chunker(lambda chunk: b"".join(map(self._pieces.__getitem__, pieces(chunk))), remember)
+        self._ids = Chunker(self._ask, remember)
 
     def _ask(self, piece: str) -> bytes:
         mapped = piece.encode().decode("latin-1").translate(self.letters)
-        return np.array([t.id for t in self.model.tokenize(mapped)], "<u4").tobytes()
+        return array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
 
     def __call__(self, text: str | None) -> np.ndarray:
         if not text:
             return np.zeros(0, np.uint32)
         if any(t in text for t in self.added):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-        return np.frombuffer(self._ids(text), "<u4")
+        return np.frombuffer(self._ids(text), "u4")
 
 
 _encoders: dict[str, LibraryEncoder] = {}

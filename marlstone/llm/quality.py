@@ -37,7 +37,7 @@ def shape(word: str) -> str:
     return RUNS.sub(r"\1", flat)[:6]
 
 
-_shapes = Memo(shape, 300_000)
+_shapes = Memo(shape, 100_000)
 
 
 def step(x: float) -> int:

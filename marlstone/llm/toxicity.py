@@ -99,7 +99,7 @@ class Scorer:
 
     def __init__(self, model: Model):
         self.bias, weights = model.bias, model.weights
-        self.evidence = Memo(lambda chunk: sum(weights[f] for f in set(word_features(chunk)) if f in weights), 300_000)
+        self.evidence = Memo(lambda chunk: sum(weights[f] for f in set(word_features(chunk)) if f in weights), 150_000)
 
     def __call__(self, text: str | None) -> float:
         # fsum: the same set of words gives the same score in whatever order it is walked
