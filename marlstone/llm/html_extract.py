@@ -3,13 +3,14 @@
 1. Each host gets one seed page, chosen by size and id. Every page of the host is aligned with the
    seed by simple tree matching: the largest set of node pairs with equal tags that keeps parents
    and the order of siblings.
-2. For each node of the seed, grouped sums over all pages of the host count how many pages
-   matched it and in how many the matched node had the very same text. Nodes that stay constant
-   over the host's pages are template; nodes that vary are slots of content.
+2. For each node of the seed, grouped sums over the distinct pages of the host count in how many
+   of them the matched node had the very same text. Nodes that hold it on `share` of all these
+   pages are template; others are slots of content.
 3. A page's text is read from its content root - an article or main element, an element named
    as content, else the body - without elements whose role is navigation, header, footer,
-   sidebar, notice, advertisement, form, comment, script or style, and without its template
-   nodes. If the template held more than half of what is left, as on a host that repeats one
+   sidebar, notice, advertisement, form, comment, script or style, and without the
+   texts that are the template's on this page too: a node that is aligned with a template node but
+   reads otherwise stays, and so do the blocks below one that goes, each by its own text. If the template held more than half of what is left, as on a host that repeats one
    page, the page keeps its text.
 
 Character references are decoded, white space inside a block becomes one space, blocks are
@@ -231,7 +232,7 @@ def content_root(root: Node) -> Node:
             a = _attributes(x) if x.attributes else {}
             kind = 0 if x.tag == "article" or a.get("itemprop", "").lower() == "articlebody" else 1 if x.tag == "main" or a.get("role", "").lower() == "main" else 2 if CONTENT_NAMES & set(NAMES.findall((a.get("class", "") + " " + a.get("id", "")).lower().replace("_", "-"))) else None
             if kind is not None:
-                size = sum(map(len, blocks(x, frozenset())))
+                size = sum(map(len, blocks(x, {})))
                 if kind not in best or size > best[kind][0]:
                     best[kind] = (size, x)
                 if kind == 0:
@@ -246,8 +247,12 @@ def content_root(root: Node) -> Node:
     return body or root
 
 
-def blocks(root: Node, template: frozenset[int]) -> list[str]:
-    """Texts of the blocks below a content root, in page order, without boilerplate and template nodes."""
+def blocks(root: Node, template: dict[int, str]) -> list[str]:
+    """Texts of the blocks below a content root, in page order, without boilerplate and without what reads as the template's node does.
+
+    template: the constant text of each template node. A node that holds it loses its own text;
+    blocks below are judged by theirs.
+    """
     out: list[str] = []
     held: list[str] = []
 
@@ -257,22 +262,25 @@ def blocks(root: Node, template: frozenset[int]) -> list[str]:
         if text:
             out.append(text)
 
-    stack: list = [root]
+    stack: list = [(root, False)]
     while stack:
-        x = stack.pop()
+        x, mute = stack.pop()
         if x is None:
             end()
         elif isinstance(x, str):
-            held.append(x)
-        elif x is root or not is_boilerplate(x, True) and x.mark not in template:
+            if not mute:
+                held.append(x)
+        elif x is root or not is_boilerplate(x, True):
+            block = x.tag in BLOCKS or x is root
+            mute = mute and not block or x is not root and x.mark in template and own_text(x) == template[x.mark]
             if x.tag == "br" or x.tag == "wbr":
                 held.append(" " if x.tag == "br" else "")
-            elif x.tag in BLOCKS or x is root:
+            elif block:
                 end()
-                stack.append(None)
-                stack.extend(reversed(x.children))
+                stack.append((None, False))
+                stack.extend((c, mute) for c in reversed(x.children))
             elif x.tag not in RAW:
-                stack.extend(reversed(x.children))
+                stack.extend((c, mute) for c in reversed(x.children))
     end()
     return out
 
@@ -284,19 +292,16 @@ def number(seed: Node) -> list[Node]:
     return nodes
 
 
-def extract(page: str | None, seed: str | None = None, template: frozenset[int] = frozenset(), seed_tree: Node | None = None) -> str:
-    """Main text of one page; seed and template come from its host's wrapper."""
+def extract(page: str | None, seed_tree: Node | None = None, template: dict[int, str] | None = None) -> str:
+    """Main text of one page; the seed's numbered tree and the texts of its template nodes come from its host's wrapper."""
     if not page:
         return ""
     tree = parse(page)
-    if template and (seed_tree or seed):
-        if seed_tree is None:
-            seed_tree = parse(seed)
-            number(seed_tree)
+    if template and seed_tree:
         match(seed_tree, tree)
     root = content_root(tree)
-    whole = blocks(root, frozenset())
-    if template:
+    whole = blocks(root, {})
+    if template and seed_tree:
         kept = blocks(root, template)
         if 2 * sum(map(len, kept)) >= sum(map(len, whole)):
             whole = kept
@@ -328,31 +333,36 @@ def induce(rows: DataFrame, least_pages: int, share: float) -> DataFrame:
     # A seed with a closed document, of middling size, is aligned best; ties go to the smaller id.
     # Of seeds in one class the choice does not matter: constant nodes are constant in any.
     order = F.struct((~F.col("html").endswith("</html>")).alias("open"), (F.length("html") > 65_536).alias("long"), "page_id", "html")
-    seeds = materialise(rows.where("host is not null and length(html) > 0").groupBy("host").agg(F.min(order).alias("s"), F.count("*").alias("pages")).where(F.col("pages") >= least_pages).select(F.col("host").alias("of"), F.col("s.html").alias("seed")), "seeds")
-    small = maybe_broadcast(seeds, F.octet_length("seed") + 64)
+    # Copies of a page count once: (host, digest of the page) are grouped, and each of n copies weighs 1/n.
+    usable = rows.where("host is not null and length(html) > 0").withColumn("digest", F.xxhash64("html"))
+    distinct = materialise(usable.groupBy("host", "digest").agg(F.count("*").alias("copies")), "pages")
+    sizes = distinct.groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") >= least_pages)
+    seeds = usable.groupBy("host").agg(F.min(order).alias("s")).join(sizes, "host")
+    seeds = materialise(seeds.select(F.col("host").alias("of"), F.col("s.html").alias("seed"), "pages"), "seeds")
+    small = maybe_broadcast(seeds, F.octet_length("seed") + 72)
+    copied = distinct.where("copies > 1").select(F.col("host").alias("copied_of"), F.col("digest").alias("copied"), "copies")
+    copied = maybe_broadcast(copied, F.octet_length("copied_of") + 32)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Seeds()
         for b in slices(batches, "html"):
-            found: dict[tuple[str, int], list[int]] = {}
-            for of, page, seed in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+            found: dict[tuple[str, int], float] = {}
+            for of, page, seed, copies in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
                 tree, texts = known(seed)
                 page_tree = parse(page)
                 match(tree, page_tree)
                 for node in preorder(page_tree):
-                    if node.mark >= 0 and texts[node.mark]:
-                        c = found.setdefault((of, node.mark), [0, 0])
-                        c[0] += 1
-                        c[1] += own_text(node) == texts[node.mark]
+                    if node.mark >= 0 and texts[node.mark] and own_text(node) == texts[node.mark]:
+                        found[of, node.mark] = found.get((of, node.mark), 0.0) + 1 / copies
             keys = list(found)
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array([found[k][0] for k in keys], pa.int64()), pa.array([found[k][1] for k in keys], pa.int64())], ["of", "node", "matched", "equal"])
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array([found[k] for k in keys], pa.float64())], ["of", "node", "equal"])
 
-    pages = rows.where("length(html) > 0").join(small, F.col("host") == F.col("of")).select("of", "html", "seed")
-    counted = pages.mapInArrow(count, "of string, node int, matched bigint, equal bigint").groupBy("of", "node").agg(F.sum("matched").alias("matched"), F.sum("equal").alias("equal"))
-    constant = counted.where((F.col("matched") >= least_pages) & (F.col("equal") >= share * F.col("matched")))
+    pages = usable.join(small, F.col("host") == F.col("of")).join(copied, (F.col("host") == F.col("copied_of")) & (F.col("digest") == F.col("copied")), "left")
+    counted = pages.select("of", "html", "seed", F.coalesce("copies", F.lit(1)).alias("copies")).mapInArrow(count, "of string, node int, equal double").groupBy("of", "node").agg(F.round(F.sum("equal")).alias("equal"))
+    constant = counted.join(seeds.select("of", "pages"), "of").where((F.col("equal") >= least_pages) & (F.col("equal") >= share * F.col("pages")))
     # A list of node numbers of one page: bounded by the seed.
     template = constant.groupBy("of").agg(F.sort_array(F.collect_list("node")).alias("template"))
-    return seeds.join(template, "of")
+    return seeds.join(template, "of").select("of", "seed", "template")
 
 
 def main_text(pages: DataFrame, least_pages: int = 5, share: float = 0.8, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -367,7 +377,8 @@ def main_text(pages: DataFrame, least_pages: int = 5, share: float = 0.8, id_col
         for b in slices(batches, "html"):
             texts = []
             for page, seed, template in zip(*(b.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
-                texts.append(extract(page, seed, frozenset(template or ()), known(seed)[0] if seed and template else None))
+                tree, constant = known(seed) if seed and template else (None, [])
+                texts.append(extract(page, tree, {i: constant[i] for i in template} if tree else None))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
     joined = rows.join(wrappers, F.col("host") == F.col("of"), "left").select("page_id", "url", "html", "seed", "template")

@@ -46,3 +46,30 @@ def test_constant_nodes_go_and_slots_stay(spark):
     assert sorted(t for i, t, _ in out if i == 22) == ["A\nRead more on our site\nb\nc & more", "again"]
     assert all(n == len(t) for _, t, n in out) and len(out) == len(rows)
     assert H.main_text(df.limit(0)).count() == 0
+
+
+def texts_of(spark, pages):
+    df = spark.createDataFrame([(i, "http://h/", p) for i, p in enumerate(pages)], "page_id bigint, url string, html string")
+    return {r["page_id"]: r["text"] for r in H.main_text(df).collect()}
+
+
+def closed(*parts):
+    return "<html><body><article>" + "".join(parts) + "</article></body></html>"
+
+
+def test_text_that_only_stands_where_a_template_node_does_is_kept(spark):
+    page = lambda i, n: closed(*(f"<p>real {i} {k} text</p>" for k in range(n)), "<p>a constant note</p>")
+    found = texts_of(spark, [page(i, 4) for i in range(9)] + [page(9, 7)])
+    assert all(f"real 9 {k} text" in found[9].split("\n") for k in range(7))
+    assert found[0] == "\n".join(f"real 0 {k} text" for k in range(4))
+
+
+def test_copies_of_the_seed_do_not_make_its_tail_template(spark):
+    long = closed(*(f"<p>long {k}</p>" for k in range(6)))
+    found = texts_of(spark, [long] * 6 + [closed(*(f"<p>short {i} {k}</p>" for k in range(4))) for i in range(6)])
+    assert found[0] == "\n".join(f"long {k}" for k in range(6))
+
+
+def test_blocks_that_vary_below_a_constant_node_are_kept(spark):
+    found = texts_of(spark, [closed(f"<p>{i} first</p><div>Also:<p>varies {i}</p></div>") for i in range(8)])
+    assert found[3] == "3 first\nvaries 3"
