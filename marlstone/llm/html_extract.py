@@ -57,6 +57,10 @@ class Node:
     attributes: str = ""
     children: list = field(default_factory=list)  # nodes and strings, in page order
     mark: int = -1  # the seed's node that it is aligned with
+    size: int = 0  # nodes of the subtree; 0 until measure() has run, which sets the next three too
+    shape: int = 0  # hash of the subtree's tags
+    content: int = 0  # hash of the subtree's tags, attributes and texts
+    kids: list | tuple = ()  # the nodes among its children
 
     @property
     def nodes(self) -> list[Node]:
@@ -140,35 +144,127 @@ def own_text(node: Node) -> str:
     return SPACE.sub(" ", html.unescape("".join(out))).strip()
 
 
+def measure(root: Node) -> None:
+    """Size, hashes and child nodes of every subtree, from the leaves up."""
+    order, stack = [], [root]
+    while stack:
+        x = stack.pop()
+        order.append(x)
+        if x.children:
+            x.kids = x.nodes
+            stack.extend(x.kids)
+    for x in reversed(order):
+        kids = x.kids
+        if not kids:
+            x.size, x.shape, x.content = 1, hash(x.tag), hash((x.tag, x.attributes, *x.children))
+            continue
+        size, shapes, contents = 1, [x.tag], [x.tag, x.attributes]
+        for c in x.children:
+            if isinstance(c, str):
+                contents.append(c)
+            else:
+                size += c.size
+                shapes.append(c.shape)
+                contents.append(c.content)
+        x.size, x.shape, x.content = size, hash(tuple(shapes)), hash(tuple(contents))
+
+
+_weights: dict[tuple[int, int], int] = {}  # largest matches of recent pairs of shapes
+
+
+def _trim(left: list[int], right: list[int]) -> tuple[int, int]:
+    """How many nodes at the beginning, and at the end, have equal hashes: as no match of such a node is larger, a largest match pairs them."""
+    most = min(len(left), len(right))
+    head = 0
+    while head < most and left[head] == right[head]:
+        head += 1
+    tail = 0
+    while tail < most - head and left[-1 - tail] == right[-1 - tail]:
+        tail += 1
+    return head, tail
+
+
+def _best(sizes: list[list[int]], m: int, n: int) -> list[list[int]]:
+    """best[i][j]: the largest sum of sizes over pairs in order of the lists from i and from j."""
+    best = [[0] * (n + 1) for _ in range(m + 1)]
+    for i in range(m - 1, -1, -1):
+        below, row, s = best[i + 1], best[i], sizes[i]
+        for j in range(n - 1, -1, -1):
+            v = below[j + 1] + s[j] if s[j] else 0
+            u = below[j] if below[j] > row[j + 1] else row[j + 1]
+            row[j] = v if v > u else u
+    return best
+
+
+def _known(p: Node, q: Node) -> int | None:
+    """Size of the largest match of two nodes, where it is plain or remembered."""
+    if p.tag != q.tag:
+        return 0
+    if p.shape == q.shape:
+        return p.size
+    if p.size == 1 or q.size == 1:
+        return 1
+    return _weights.get((p.shape, q.shape))
+
+
+def weight(a: Node, b: Node) -> int:
+    """Size of the largest match of two measured nodes: one, and the largest sum over pairs of their children in order; 0 for unequal tags."""
+    todo = [(a, b)]
+    while todo:
+        p, q = todo[-1]
+        if _known(p, q) is not None:
+            todo.pop()
+            continue
+        left, right = p.kids, q.kids
+        head, tail = _trim([x.shape for x in left], [x.shape for x in right])
+        fixed = 1 + sum(x.size for x in left[:head]) + sum(x.size for x in left[len(left) - tail :])
+        left, right = left[head : len(left) - tail], right[head : len(right) - tail]
+        sizes = [[_known(x, y) for y in right] for x in left]
+        missing = {(x.shape, y.shape): (x, y) for x, row in zip(left, sizes, strict=True) for y, w in zip(right, row, strict=True) if w is None}
+        if missing:
+            todo.extend(missing.values())
+            continue
+        _weights[p.shape, q.shape] = fixed + _best(sizes, len(left), len(right))[0][0]
+        todo.pop()
+    return _known(a, b)
+
+
 def match(a: Node, b: Node) -> int:
     """Simple tree matching of two nodes with equal tags: size of the largest match, and marks.
 
-    Rows of the table over both lists of children hold the best match of their beginnings; runs
-    that agree at both ends are matched without it. Nodes of b that are matched get the index in
-    `mark` of their partner in a.
+    Children are paired by the sizes of their own largest matches, so the whole is the largest;
+    among equally large ones, pairs of equal content and of equal attributes come first. Nodes of
+    b that are matched get the index in `mark` of their partner in a.
     """
+    if len(_weights) > 200_000:
+        _weights.clear()
+    if not a.size:
+        measure(a)
+    measure(b)
     pairs = [(a, b)]
     total = 0
     while pairs:
         x, y = pairs.pop()
         y.mark = x.mark
         total += 1
-        left, right = x.nodes, y.nodes
-        while left and right and left[0].tag == right[0].tag and (len(left) == 1 or len(right) == 1 or left[0].tag not in ("p", "li", "div")):
-            pairs.append((left.pop(0), right.pop(0)))
-        while left and right and left[-1].tag == right[-1].tag and left[-1].tag not in ("p", "li", "div"):
-            pairs.append((left.pop(), right.pop()))
+        left, right = x.kids, y.kids
         if not left or not right:
             continue
+        head, tail = _trim([p.content for p in left], [q.content for q in right])
+        if head or tail:
+            pairs.extend(zip(left[:head], right[:head], strict=True))
+            pairs.extend(zip(left[len(left) - tail :], right[len(right) - tail :], strict=True))
+            left, right = left[head : len(left) - tail], right[head : len(right) - tail]
         m, n = len(left), len(right)
-        sizes = [[_overlap(p, q) if p.tag == q.tag else 0 for q in right] for p in left]
-        best = [[0] * (n + 1) for _ in range(m + 1)]
-        for i in range(m - 1, -1, -1):
-            below, row, s = best[i + 1], best[i], sizes[i]
-            for j in range(n - 1, -1, -1):
-                v = below[j + 1] + s[j] if s[j] else 0
-                u = below[j] if below[j] > row[j + 1] else row[j + 1]
-                row[j] = v if v > u else u
+        if not m or not n:
+            continue
+        tags = [p.tag for p in left]
+        if len(set(tags)) == m and tags == [q.tag for q in right]:
+            pairs.extend(zip(left, right, strict=True))  # no node has another partner
+            continue
+        unit = 4 * min(m, n)  # above all that equal attributes and contents can add
+        sizes = [[unit * (_known(p, q) or weight(p, q)) + (p.attributes == q.attributes) + 2 * (p.content == q.content) if p.tag == q.tag else 0 for q in right] for p in left]
+        best = _best(sizes, m, n)
         i = j = 0
         while i < m and j < n:
             if sizes[i][j] and best[i][j] == best[i + 1][j + 1] + sizes[i][j]:
@@ -181,15 +277,6 @@ def match(a: Node, b: Node) -> int:
     return total
 
 
-def _overlap(p: Node, q: Node) -> int:
-    """Weight of a pair of nodes: one, and one for each pair of children in order with equal tags; equal attributes count more."""
-    score = 2 + (p.attributes == q.attributes)
-    if p.children and q.children:
-        for x, y in zip(p.nodes[:8], q.nodes[:8], strict=False):
-            score += x.tag == y.tag
-    return score
-
-
 def _attributes(node: Node) -> dict[str, str]:
     return {m[1].lower(): (m[2] or m[3] or m[4] or "") for m in ATTRIBUTES.finditer(node.attributes)} if node.attributes.strip(" /") else {}
 

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from marlstone.llm import html_extract as H
@@ -73,3 +75,41 @@ def test_copies_of_the_seed_do_not_make_its_tail_template(spark):
 def test_blocks_that_vary_below_a_constant_node_are_kept(spark):
     found = texts_of(spark, [closed(f"<p>{i} first</p><div>Also:<p>varies {i}</p></div>") for i in range(8)])
     assert found[3] == "3 first\nvaries 3"
+
+
+def largest(p, q):
+    """Simple tree matching as it is defined."""
+    if p.tag != q.tag:
+        return 0
+    table = [[0] * (len(q.nodes) + 1) for _ in range(len(p.nodes) + 1)]
+    for i, x in enumerate(p.nodes):
+        for j, y in enumerate(q.nodes):
+            table[i + 1][j + 1] = max(table[i][j + 1], table[i + 1][j], table[i][j] + largest(x, y))
+    return 1 + table[-1][-1]
+
+
+def test_matching_is_the_largest_on_random_trees():
+    rng = random.Random(7)
+
+    def tree(depth):
+        tag = rng.choice(("div", "section", "b"))
+        return f"<{tag}>" + "".join(tree(depth - 1) for _ in range(rng.randint(0, 4) if depth else 0)) + f"</{tag}>"
+
+    for _ in range(150):
+        a, b = (H.parse("".join(tree(3) for _ in range(rng.randint(1, 4)))) for _ in range(2))
+        nodes = H.number(a)
+        assert H.match(a, b) == largest(a, b)
+        marked = [x for x in H.preorder(b) if x.mark >= 0]
+        assert len(marked) == largest(a, b) and all(nodes[x.mark].tag == x.tag for x in marked)
+
+
+def test_one_section_more_in_front_moves_no_partner():
+    head, note = "<section><h2>A</h2><ul><li>1</li></ul></section>", "<section class='n'><p><b>Note</b></p></section>"
+    body = "<section><h3>B</h3><table><tr><td>1</td></tr></table></section>"
+    a, b = H.parse(head + body + note), H.parse("<section><i>new</i></section>" + head + body + note)
+    H.number(a)
+    H.match(a, b)
+    assert [x.mark - y.mark for x, y in zip(b.nodes[1:], a.nodes, strict=True)] == [0, 0, 0]
+    deep = H.parse("<div>" * 3000 + "x")
+    H.number(deep)
+    assert H.match(deep, H.parse("<div>" * 2500 + "<p>y")) == 2501
