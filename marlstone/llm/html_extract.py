@@ -6,8 +6,9 @@
 2. For each node of the seed, grouped sums over the distinct pages of the host count in how many
    of them the matched node had the very same text. Nodes that hold it on `share` of all these
    pages are template; others are slots of content.
-3. A page's text is read from its content root - an article or main element, an element named
-   as content, else the body - without elements whose role is navigation, header, footer,
+3. A page's text is read from its content roots, in page order - all article elements or the main
+   element around them, else all main elements, else all elements named as content, else the body -
+   without elements whose role is navigation, header, footer,
    sidebar, notice, advertisement, form, comment, script or style, and without the
    texts that are the template's on this page too: a node that is aligned with a template node but
    reads otherwise stays, and so do the blocks below one that goes, each by its own text. If the template held more than half of what is left, as on a host that repeats one
@@ -306,32 +307,37 @@ def is_boilerplate(node: Node, inside: bool) -> bool:
     return bool(words & DROPPED_NAMES)
 
 
-def content_root(root: Node) -> Node:
-    """The element that holds the article: by its tag, role or name, the one with the most text; else the body."""
-    best: dict[int, tuple[int, Node]] = {}
-
-    def visit(node: Node) -> None:
-        stack = [node]
-        while stack:
-            x = stack.pop()
-            if x is not node and is_boilerplate(x, False):
-                continue
-            a = _attributes(x) if x.attributes else {}
-            kind = 0 if x.tag == "article" or a.get("itemprop", "").lower() == "articlebody" else 1 if x.tag == "main" or a.get("role", "").lower() == "main" else 2 if CONTENT_NAMES & set(NAMES.findall((a.get("class", "") + " " + a.get("id", "")).lower().replace("_", "-"))) else None
-            if kind is not None:
-                size = sum(map(len, blocks(x, {})))
-                if kind not in best or size > best[kind][0]:
-                    best[kind] = (size, x)
-                if kind == 0:
-                    continue
-            stack.extend(reversed(x.nodes))
-
-    visit(root)
-    for kind in sorted(best):
-        if best[kind][0]:
-            return best[kind][1]
-    body = next((x for x in preorder(root) if x.tag == "body"), None)
-    return body or root
+def content_roots(root: Node) -> list[Node]:
+    """The elements that hold the article, in page order: all outermost ones of the first kind that has text - by tag, role or name - else the body.
+
+    If articles lie in a main element, that element stands for them, since a heading or lead may
+    stand beside them.
+    """
+    found: dict[int, list[Node]] = {}
+    mains: set[int] = set()  # main elements that articles lie in
+    stack: list[tuple[Node, tuple[bool, ...], Node | None]] = [(root, (False, False, False), None)]
+    while stack:
+        x, within, main = stack.pop()
+        if x is not root and is_boilerplate(x, main is not None):
+            continue
+        a = _attributes(x) if x.attributes else {}
+        kind = 0 if x.tag == "article" or a.get("itemprop", "").lower() == "articlebody" else 1 if x.tag == "main" or a.get("role", "").lower() == "main" else 2 if CONTENT_NAMES & set(NAMES.findall((a.get("class", "") + " " + a.get("id", "")).lower().replace("_", "-"))) else None
+        if kind is not None and not within[kind]:
+            if kind == 1:
+                main = x
+            if kind or main is None or not blocks(x, {}):
+                found.setdefault(kind, []).append(x)
+            elif id(main) not in mains:
+                mains.add(id(main))
+                found.setdefault(0, []).append(main)
+            within = tuple(w or k == kind for k, w in enumerate(within))
+        if kind == 0:
+            continue
+        stack.extend((c, within, main) for c in reversed(x.nodes))
+    for kind in sorted(found):
+        if any(blocks(x, {}) for x in found[kind]):
+            return found[kind]
+    return [next((x for x in preorder(root) if x.tag == "body"), root)]
 
 
 def blocks(root: Node, template: dict[int, str]) -> list[str]:
@@ -386,10 +392,10 @@ def extract(page: str | None, seed_tree: Node | None = None, template: dict[int,
     tree = parse(page)
     if template and seed_tree:
         match(seed_tree, tree)
-    root = content_root(tree)
-    whole = blocks(root, {})
+    roots = content_roots(tree)
+    whole = [b for x in roots for b in blocks(x, {})]
     if template and seed_tree:
-        kept = blocks(root, template)
+        kept = [b for x in roots for b in blocks(x, template)]
         if 2 * sum(map(len, kept)) >= sum(map(len, whole)):
             whole = kept
     return "\n".join(whole)

@@ -113,3 +113,19 @@ def test_one_section_more_in_front_moves_no_partner():
     deep = H.parse("<div>" * 3000 + "x")
     H.number(deep)
     assert H.match(deep, H.parse("<div>" * 2500 + "<p>y")) == 2501
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ('<div itemprop="articleBody"><p>one</p></div><div class="ad">buy</div><div itemprop="articleBody"><p>two, longer</p></div><p>beside', "one\ntwo, longer"),
+        ('<div class="entry-content"><p>first part</p></div><div class="ads">x</div><div class="entry-content">second</div>', "first part\nsecond"),
+        ("<body><article>a</article><p>between</p><article>bb<article>inner</article></article></body>", "a\nbb\ninner"),
+        ("<main><header><h1>Head</h1></header><p>lead</p><article><p>text</p></article><aside>no</aside></main><p>out", "Head\nlead\ntext"),
+        ("<main><p>m</p><article></article></main><article class='post'><p>a</p></article>", "a"),
+        ("<article> </article><main><div class='content'>x</div>y</main><main>z</main>", "x\ny\nz"),
+        ("<section class='related'><article>other, and much longer</article></section><article>own</article>", "own"),
+    ],
+)
+def test_all_content_elements_of_a_kind_are_read(page, text):
+    assert H.extract(page) == text
