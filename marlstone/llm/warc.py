@@ -22,6 +22,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+import re
 import struct
 import uuid
 import zlib
@@ -43,6 +44,7 @@ SCHEMA = "record_id string, record_type string, target_uri string, warc_date str
 COLUMNS = [c.split()[0] for c in SCHEMA.split(", ")]
 KINDS = {"string": pa.string(), "bigint": pa.int64(), "binary": pa.binary()}
 ARROW = pa.schema([(c.split()[0], KINDS[c.split()[1]]) for c in SCHEMA.split(", ")])
+BEGINNING = re.compile(rb"\r\n\r\nWARC/\d+\.\d+\r\n[!-9;-~]{1,256}:")  # of a record of any version, with its first header
 LISTING = "_archives"
 LENGTH_FIELD = b"sl"
 
@@ -240,15 +242,16 @@ class WarcReader(DataSourceReader):
             return
         fs, path = pafs.FileSystem.from_uri(partition.uri)
         with fs.open_input_file(path) as source:
-            src = _Bytes(source, partition.start)
+            src = _Bytes(source, max(0, partition.start - 4))
             if path.endswith(".gz"):
                 records = _packed_records(src)
             else:
-                while partition.start and not src.ended:  # a record begins behind the blank lines of the one before
-                    if (at := src.peek(1 << 20).find(b"\r\n\r\n" + VERSION)) >= 0:
-                        src.skip(at + 4)
+                while partition.start and not src.ended:  # a record begins behind the blank lines of the one before, which may lie before this start
+                    window = src.peek(1 << 20)
+                    if m := BEGINNING.search(window):
+                        src.skip(m.start() + 4)
                         break
-                    src.skip(max(1, len(src.peek(1 << 20)) - 16))
+                    src.skip(len(window) - 512 if len(window) == 1 << 20 else len(window))
                 records = _plain_records(src, partition.end)
             rows, held = [], 0
             for head, block in records:

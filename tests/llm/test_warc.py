@@ -58,3 +58,15 @@ def test_members_without_length_and_other_writers(tmp_path):
     (tmp_path / "a.warc.gz").write_bytes(gzip.compress(record) + gzip.compress(record))
     reader = warc.WarcReader({"path": f"file://{tmp_path}", "payload": "true", "verify": "true"})
     assert [v for p in reader.partitions() for b in reader.read(p) for v in b.column("payload").to_pylist()] == [b"hi", b"hi"]
+
+
+def test_every_split_of_plain_archives_gives_all_records(tmp_path):
+    bodies = [b"x", b"", b"a\r\n\r\nWARC/1.1\r\n\r\nb", b"y" * 40]
+    records = b"".join(warc.compose(i, None, b, len(b), sha(b), None, "1970-01-01T00:00:00Z") for i, b in enumerate(bodies))
+    for version in (b"1.0", b"1.1"):
+        data = records.replace(b"WARC/1.1\r\nWARC-Type", b"WARC/" + version + b"\r\nWARC-Type")
+        (tmp_path / "a.warc").write_bytes(data)
+        for split in range(1, len(data) + 1):
+            reader = warc.WarcReader({"path": f"file://{tmp_path}", "split_bytes": str(split)})
+            parts = reader.partitions() if split > 40 else [warc.Archive(f"file://{tmp_path}/a.warc", s, e) for s, e in ((0, split), (split, len(data)))]
+            assert [v for p in parts for b in reader.read(p) for v in b.column("payload").to_pylist()] == bodies
