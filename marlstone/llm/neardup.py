@@ -336,6 +336,16 @@ def link(docs: DataFrame, k: int = 5, percent: int = 80, miss: float = 1e-6, id_
 
 
 def keep_first(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", **more) -> DataFrame:
-    """The rows of docs that are the first of their component, with all their columns."""
-    gone = link(docs, k, percent, id_col=id_col, text_col=text_col, **more).where("not kept").select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(materialise(gone, "gone"), F.col(id_col).cast("bigint").eqNullSafe(F.col("_gone")), "left_anti")
+    """One row of each component, with all its columns: that of the smallest id, or any of them if several share it or none has one.
+
+    Rows get a number of their own, stored with them, and are linked and removed by it: ids may be
+    null or shared. Rows without words are in no group and all stay.
+    """
+    rows = materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    found = materialise(link(rows, k, percent, id_col="_row", text_col=text_col, **more).select(F.col("_row").alias("row"), "component_id"), "found")
+    several = found.groupBy("component_id").agg(F.count("*").alias("n")).where("n > 1").select("component_id")
+    ids = rows.select(F.col("_row").alias("row"), F.col(id_col).cast("bigint").alias("id"))
+    members = materialise(found.join(several, "component_id").join(ids, "row"), "members")
+    first = members.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("unknown"), "id", "row")).alias("f")).select(F.col("f.row").alias("row"))
+    gone = members.join(first, "row", "left_anti").select(F.col("row").alias("_row"))
+    return rows.join(materialise(gone, "gone"), "_row", "left_anti").select(*docs.columns)

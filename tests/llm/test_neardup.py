@@ -94,3 +94,9 @@ def test_null_ids_repeats_and_empty(spark, docs_of):
 def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (100, 100)], "u bigint, v bigint")
     assert {r["node"]: r["component"] for r in components(links).collect()} == {**dict.fromkeys(range(61), 0), 100: 100, 101: 100}
+
+
+def test_one_row_of_each_group_stays_whatever_its_id(spark, docs_of):
+    rows = [(7, "a b c d"), (None, "a b c d"), (None, "alone in the world"), (None, "n o n e"), (None, "n o n e"), (5, "one two three"), (9, "one two three"), (9, "another text here"), (4, "twice the same"), (4, "twice the same"), (None, ""), (None, ""), (3, None)]
+    out = sorted(((r["doc_id"], r["text"]) for r in neardup.keep_first(docs_of(rows), 3, 85).collect()), key=str)
+    assert out == sorted([(7, "a b c d"), (None, "alone in the world"), (None, "n o n e"), (5, "one two three"), (9, "another text here"), (4, "twice the same"), (None, ""), (None, ""), (3, None)], key=str)
