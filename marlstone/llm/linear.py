@@ -54,8 +54,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows_per_cla
     return materialise(found.select("label", "text"), "sample"), counts
 
 
-def choose_features(sample: DataFrame, featuriser: Featuriser, most: int, least_rows: int, least_z: float) -> list[str]:
-    """The features whose presence differs most between the classes, by the root of the likelihood ratio, which is a z score."""
+def choose_features(sample: DataFrame, featuriser: Featuriser, most: int, least_rows: int, least_z: float = 0.0) -> dict[str, float]:
+    """The features whose presence differs most between the classes, best first, each with the root of its likelihood ratio, which is a z score."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
@@ -68,7 +68,7 @@ def choose_features(sample: DataFrame, featuriser: Featuriser, most: int, least_
     totals = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
     t0, t1 = totals.get(0, 0), totals.get(1, 0)
     if not t0 or not t1:
-        return []
+        return {}
     n0, n1 = F.col("n0"), F.col("n1")
     share = (n0 + n1) / F.lit(float(t0 + t1))
 
@@ -79,12 +79,16 @@ def choose_features(sample: DataFrame, featuriser: Featuriser, most: int, least_
     z = F.sqrt(F.greatest(2 * g, F.lit(0.0)))
     counted = sample.mapInArrow(count, "feature string, n0 bigint, n1 bigint").groupBy("feature").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     best = counted.where(n0 + n1 >= least_rows).withColumn("z", z).where(F.col("z") >= least_z).orderBy(F.desc("z"), "feature").limit(most)
-    return [r["feature"] for r in best.collect()]
+    return {r["feature"]: r["z"] for r in best.collect()}
 
 
-def fit(sample: DataFrame, counts: dict[int, int], featuriser: Featuriser, features: list[str], l2: float = 1.0, ties: list[list[Counter]] | None = None, tie_weight: float = 0.0, steps: int = 200) -> Model:
+def fit(sample: DataFrame, counts: dict[int, int], featuriser: Featuriser, features: dict[str, float], l2: float = 1.0, sure_z: float = 0.0, ties: list[list[Counter]] | None = None, tie_weight: float = 0.0, steps: int = 200) -> Model:
     """Logistic regression over the chosen features, by accelerated gradient steps.
 
+    features: names and z scores. A feature of less than sure_z, or than the best one's score if
+    that is less, is charged more, by the fourth power of how far it falls short: the weak ones
+    shrink, none is left out.
+
     ties: groups of feature counts whose scores should be equal; tie_weight times the variance of
     their scores within each group is added to the loss. Without labels of both classes the model
     gives the share of 1 among the labels, or a half.
@@ -113,31 +117,36 @@ def fit(sample: DataFrame, counts: dict[int, int], featuriser: Featuriser, featu
     rows, cols, vals = rows[order], cols[order], vals[order]
 
     size, n = len(features), len(y)
-    tied = np.zeros((0, size))
+    tied, moved = np.zeros((0, 0)), np.zeros(0, np.int64)
     if ties and tie_weight:
+        # Only features whose count differs within a group take part; the matrix has columns for these alone.
+        differ = sorted({f for group in ties for f in set().union(*group) if f in place and len({c[f] for c in group}) > 1}, key=place.__getitem__)
+        column, moved = {f: i for i, f in enumerate(differ)}, np.array([place[f] for f in differ], np.int64)
         parts = []
         for group in ties:
-            m = np.zeros((len(group), size))
+            m = np.zeros((len(group), len(differ)))
             for k, c in enumerate(group):
                 for f, v in c.items():
-                    if f in place:
-                        m[k, place[f]] = v
+                    if f in column:
+                        m[k, column[f]] = v
             parts.append(m - m.mean(axis=0))
         tied = np.concatenate(parts)
         tied = tied[np.abs(tied).sum(axis=1) > 0]
     scale = np.sqrt(np.maximum(1e-9, np.bincount(cols, weights=vals**2, minlength=size) / n))
     vals = vals / scale[cols]
-    tied = tied / scale
+    tied = tied / scale[moved]
     positive, negative = max(1.0, y.sum()), max(1.0, n - y.sum())
     weight = np.where(y == 1, 0.5 * n / positive, 0.5 * n / negative)
+    z = np.maximum(0.1, np.fromiter(features.values(), np.float64, size))
+    charge = l2 * np.maximum(1.0, min(sure_z, z.max()) / z) ** 4
     w, b = np.zeros(size), 0.0
     m1, m2, t = np.zeros(size + 1), np.zeros(size + 1), 0
     for t in range(1, steps + 1):
         margin = np.bincount(rows, weights=vals * w[cols], minlength=n) + b
         error = weight * (1 / (1 + np.exp(-np.clip(margin, -40, 40))) - y)
-        g = np.append(np.bincount(cols, weights=vals * error[rows], minlength=size) / n + l2 * w / n, error.mean())
+        g = np.append(np.bincount(cols, weights=vals * error[rows], minlength=size) / n + charge * w / n, error.mean())
         if len(tied):
-            g[:-1] += 2 * tie_weight * (tied.T @ (tied @ w)) / len(tied)
+            g[moved] += 2 * tie_weight * (tied.T @ (tied @ w[moved])) / len(tied)
         m1, m2 = 0.9 * m1 + 0.1 * g, 0.999 * m2 + 0.001 * g * g
         step = 0.1 * (1 - t / (steps + 1)) * (m1 / (1 - 0.9**t)) / (np.sqrt(m2 / (1 - 0.999**t)) + 1e-9)
         w, b = w - step[:-1], b - float(step[-1])

@@ -90,8 +90,8 @@ def swapped_sentences(sample: DataFrame, most: int) -> list[list[Counter]]:
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows_per_class: int = 5_000, max_chars: int = 50_000, max_features: int = 4_000, swaps: int = 200, swap_weight: float = 5.0, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Fit on at most rows_per_class labelled rows of each class, of texts of at most max_chars characters; the held-out fifth is never read."""
     sample, counts = labelled_sample(docs, labels, label, rows_per_class, max_chars, id_col, text_col)
-    chosen = choose_features(sample, features, max_features, least_rows=5, least_z=6.5)
-    return fit(sample, counts, features, chosen, l2=1.0, ties=swapped_sentences(sample, swaps), tie_weight=swap_weight)
+    chosen = choose_features(sample, features, max_features, least_rows=2)
+    return fit(sample, counts, features, chosen, l2=1.0, sure_z=6.5, ties=swapped_sentences(sample, swaps), tie_weight=swap_weight)
 
 
 class Scorer:

@@ -89,3 +89,18 @@ def test_sparse_groups_shrink(spark):
 def test_held_out_fifth(spark):
     rows = spark.range(200).select("id", linear.held_out("id").alias("h")).collect()
     assert all(r["h"] == (zlib.crc32(str(r["id"]).encode()) % 5 == 0) for r in rows)
+
+
+def test_few_toxic_labels_and_rare_words_are_learnt(spark, docs_of):
+    rng = random.Random(8)
+    words = [f"{a}{b}" for a in ("lo", "mi", "ra", "ti", "su") for b in ("na", "pel", "dor", "ven")]
+
+    def model_of(n, bad):
+        texts = [[rng.choice(words) for _ in range(20)] + bad(i) for i in range(n)]
+        labels = spark.createDataFrame([(i, 1, int(bool(bad(i)))) for i in range(n)], "doc_id bigint, quality int, toxic int")
+        return toxicity.Scorer(toxicity.train(docs_of([(i, " ".join(t)) for i, t in enumerate(texts)]), labels))
+
+    few = model_of(70, lambda i: ["vile"] if i % 7 == 0 else [])
+    assert few("lona mipel vile radora") > 0.5 > few("lona mipel radora")
+    rare = model_of(900, lambda i: ["zorgul"] if i in (30, 31, 62, 63, 124, 125) else ["vile"] if i % 6 == 0 else [])
+    assert rare("lona mipel zorgul radora") > 0.5 and rare("lona vile mipel") > 0.5 > rare("lona mipel radora")
