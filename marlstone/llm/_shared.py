@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,15 +25,18 @@ _made: dict[str, SparkSession] = {}
 def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, which a cluster names.
 
-    Where it is unset, a local master gets a temporary folder of its own and any other
-    master uses the warehouse, since executors cannot see each other's temporary folders.
+    Where it is unset, a local master gets a temporary folder of its own. On a cluster the
+    warehouse serves, unless that is a folder of one machine, which executors do not share.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
     if spark.sparkContext.master.startswith("local") and "cluster" not in spark.sparkContext.master:
         return f"file://{tempfile.gettempdir()}/marlstone-{os.getuid()}"
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+    warehouse = spark.conf.get("spark.sql.warehouse.dir")
+    if warehouse.startswith(("file:", "/")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return warehouse.rstrip("/") + "/_scratch"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -50,6 +56,17 @@ def remove(spark: SparkSession, path: str) -> None:
     _made.pop(path, None)
 
 
+@contextlib.contextmanager
+def scratch_until_end(spark: SparkSession) -> Iterator[None]:
+    """Removes, at its end, the scratch paths made inside it; what is still to be read must lie elsewhere."""
+    before = set(_made)
+    try:
+        yield
+    finally:
+        for path in [p for p in _made if p not in before]:
+            remove(spark, path)
+
+
 def _clean() -> None:
     for path, spark in list(_made.items()):
         try:
@@ -70,6 +87,37 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_kept: dict[str, object] = {}
+
+
+def resident(key: str, make: Callable[[], object]) -> object:
+    """What a worker process keeps from task to task: one object, that of the key last asked for.
+
+    Tasks of one stage share it. Another stage's key takes its place, and the memory of the former
+    goes back to the system first, so a process holds what one stage needs, not the sum of all
+    stages that it ever served.
+    """
+    if key not in _kept:
+        _kept.clear()
+        give_back()
+        _kept[key] = make()
+        give_back()
+    return _kept[key]
+
+
+def give_back() -> None:
+    """Return what this process has freed to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no malloc_trim
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def fresh(name: str) -> str:
+    """A column name that clashes with none that a table brings."""
+    return f"{name}_{uuid.uuid4().hex[:12]}"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -18,7 +18,7 @@ import json
 import re
 from array import array
 from collections.abc import Callable, Iterable, Iterator
-from itertools import chain
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm._shared import slices
+from marlstone.llm._shared import resident, slices
 
 # The pre-token pattern of the byte-level vocabulary, and Unicode's white space.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -39,7 +39,10 @@ _PIECES = regex.compile(PIECES.replace(r"[^\s\p{L}\p{N}]", rf"[^{SPACE}\p{{L}}\p
 
 
 class Memo(dict):
-    """Results by key: two generations of at most `most` keys, of which the elder is dropped."""
+    """Results by key: two generations of at most `most` keys, of which the elder is dropped.
+
+    Keys of more than 64 letters are not kept, so memory is bounded by the number of keys.
+    """
 
     def __init__(self, make: Callable, most: int):
         super().__init__()
@@ -105,22 +108,31 @@ def byte_letters() -> list[str]:
 class MergeTree:
     """Merges of one pre-token: leaf i holds rank * width + i of the pair that starts at i."""
 
-    def __init__(self, ids: list[int], ranks: dict[tuple[int, int], int], made: list[int]):
+    def __init__(self, ids: list[int] | array, ranks: dict[tuple[int, int], int], made: list[int]):
         self.ids, self.ranks, self.made = ids, ranks, made
         self.pairs = len(ids) - 1
         self.width = 1 << max(0, self.pairs - 1).bit_length()
         self.never = never = (len(made) + 1) * self.width
-        self.next = list(range(1, len(ids) + 1))
-        self.last = list(range(-1, len(ids) - 1))
-        width, found = self.width, map(ranks.get, zip(ids, ids[1:], strict=False))
-        level = [never if r is None else r * width + i for i, r in enumerate(found)] + [never] * (width - self.pairs)
-        levels = [level]
-        while len(level) > 1:
-            level = list(map(min, level[::2], level[1::2]))
-            levels.append(level)
-        self.tree = [never]
-        for level in reversed(levels):
-            self.tree += level
+        width, found = self.width, map(ranks.get, zip(ids, islice(ids, 1, None), strict=False))
+        leaves = (never if r is None else r * width + i for i, r in enumerate(found))
+        if len(ids) <= 256:
+            self.next, self.last = list(range(1, len(ids) + 1)), list(range(-1, len(ids) - 1))
+            level = [*leaves, *[never] * (width - self.pairs)]
+            levels = [level]
+            while len(level) > 1:
+                level = list(map(min, level[::2], level[1::2]))
+                levels.append(level)
+            self.tree = [never]
+            for level in reversed(levels):
+                self.tree += level
+        else:  # a long word: packed integers, 8 bytes each, where a list takes 40
+            self.next, self.last = array("q", range(1, len(ids) + 1)), array("q", range(-1, len(ids) - 1))
+            packed = np.full(2 * width, never, np.int64)
+            packed[width : width + self.pairs] = np.fromiter(leaves, np.int64, self.pairs)
+            while width > 1:
+                packed[width // 2 : width] = packed[width : 2 * width].reshape(-1, 2).min(axis=1)
+                width //= 2
+            self.tree = array("q", packed.tobytes())
 
     def key(self, i: int, j: int) -> int:
         rank = self.ranks.get((self.ids[i], self.ids[j]))
@@ -138,6 +150,10 @@ class MergeTree:
             tree[i] = least
 
     def run(self) -> tuple[int, ...]:
+        return tuple(self.merged())
+
+    def merged(self) -> array:
+        """Ids that are left when nothing can be merged."""
         ids, n = self.ids, len(self.ids)
         while (root := self.tree[1]) < self.never:
             rank, i = divmod(root, self.width)
@@ -154,17 +170,17 @@ class MergeTree:
                 self.put(i, self.never)
             if (before := self.last[i]) >= 0:
                 self.put(before, self.key(before, i))
-        out, i = [], 0
+        out, i = array("I"), 0
         while i < n:
             out.append(ids[i])
             i = self.next[i]
-        return tuple(out)
+        return out
 
 
 class Codec:
     """Encoder and decoder of a tokenizer file: byte-level BPE with added tokens."""
 
-    def __init__(self, path: str, remember: int = 200_000):
+    def __init__(self, path: str, remember: int = 150_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -193,22 +209,22 @@ class Codec:
     def merge(self, piece: str) -> bytes:
         """Ids of one pre-token, as 32-bit integers."""
         first = self.first
-        ids = [first[b] for b in piece.encode()]
-        return array("I", ids if len(ids) < 2 else MergeTree(ids, self.ranks, self.made).run()).tobytes()
-
-    def _plain(self, text: str) -> list[int]:
-        return np.frombuffer(self._ids(text), "u4").tolist()
-
-    def encode(self, text: str | None) -> list[int]:
-        """Ids of a text; the strings of added tokens become their ids."""
+        data = piece.encode()
+        if len(data) > 256:
+            return MergeTree(array("I", map(first.__getitem__, data)), self.ranks, self.made).merged().tobytes()
+        ids = [first[b] for b in data]
+        return (array("I", ids) if len(ids) < 2 else MergeTree(ids, self.ranks, self.made).merged()).tobytes()
+
+    def encode_bytes(self, text: str | None) -> bytes:
+        """Ids of a text, as 32-bit integers; the strings of added tokens become their ids."""
         if not text:
-            return []
+            return b""
         if self._added is None or not any(t in text for t in self.added):
-            return self._plain(text)
-        out: list[int] = []
-        for part in self._added.split(text):
-            out.extend((self.added[part],) if part in self.added else self._plain(part) if part else ())
-        return out
+            return self._ids(text)
+        return b"".join(array("I", [self.added[part]]).tobytes() if part in self.added else self._ids(part) if part else b"" for part in self._added.split(text))
+
+    def encode(self, text: str | None) -> list[int]:
+        return np.frombuffer(self.encode_bytes(text), "u4").tolist()
 
     def decode(self, ids: Iterable[int]) -> str:
         """Text of ids; bytes that are not UTF-8 become U+FFFD. Ids outside the vocabulary are left out."""
@@ -219,14 +235,9 @@ class Codec:
             return b"".join(known[i] for i in ids if 0 <= i < len(known)).decode("utf-8", "replace")
 
 
-_codecs: dict[str, Codec] = {}
-
-
 def codec(path: str) -> Codec:
-    """The codec of a file, read once by each worker process."""
-    if path not in _codecs:
-        _codecs[path] = Codec(path)
-    return _codecs[path]
+    """The codec of a file, read once by each worker process of a stage."""
+    return resident(f"codec {path}", lambda: Codec(path))
 
 
 def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -235,8 +246,11 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
         for b in slices(batches, "text"):
-            ids = [c.encode(t) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(map(len, ids), pa.int64())], ["id", "ids", "n_tokens"])
+            coded = [c.encode_bytes(t) for t in b.column(1).to_pylist()]
+            sizes = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
+            starts = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+            ids = pa.ListArray.from_arrays(starts, pa.array(np.frombuffer(b"".join(coded), np.int32)))
+            yield pa.RecordBatch.from_arrays([b.column(0), ids, pa.array(sizes)], ["id", "ids", "n_tokens"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, ids array<int>, n_tokens bigint")

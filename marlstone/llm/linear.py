@@ -1,18 +1,20 @@
 """A small logistic model over named features, fitted on a bounded sample of labelled rows.
 
-The bounds are parameters: rows of each class and characters of a text. Only fitting is
-bounded; scores are made from whole texts of all rows.
+The bounds are parameters: rows of each class, and bytes of their texts, beyond which fewer rows
+are drawn. Only fitting is bounded, and no text is left out or cut for its length; scores are
+made from whole texts of all rows.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.llm._shared import materialise, slices
@@ -26,6 +28,7 @@ class Model:
 
     weights: dict[str, float]
     bias: float
+    key: str = field(default_factory=lambda: uuid.uuid4().hex)  # tells fitted models apart in worker processes
 
     def log_odds(self, features: Counter) -> float:
         w = self.weights
@@ -38,19 +41,26 @@ def held_out(id_col: str | Column) -> Column:
     return F.coalesce(F.crc32(col.cast("string")) % 5 == 0, F.lit(False))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows_per_class: int, max_chars: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, dict[int, int]]:
-    """(label, text) of at most rows_per_class rows of each class, and each class's number of labelled rows.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows_per_class: int, bytes_per_class: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, dict[int, int]]:
+    """(label, text) of at most rows_per_class rows of each class, and how many labelled rows of each class the sample was drawn from.
 
-    Rows are drawn by a hash of their id, never from the held-out fifth. Of an id with several
-    labels the largest counts, of one with several texts the first in order.
+    Rows are drawn by a hash of their id, never from the held-out fifth, from the ids that docs
+    holds. Of an id with several labels the largest counts, of one with several texts the longest,
+    then the first in order. Drawing ends where the texts reach bytes_per_class; each class has
+    one row at least, however long.
     """
-    known = labels.where(F.col(label).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(id_col).agg(F.max(label).cast("int").alias("label"))
+    known = labels.where(F.col(label).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(F.col(id_col).alias("id")).agg(F.max(label).cast("int").alias("label"))
+    there = docs.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(F.coalesce(F.octet_length(text_col), F.lit(0))).alias("size"))
+    known = materialise(known.join(there, "id"), "known")
     counts = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    drawn = [known.where(F.col("label") == k).orderBy(F.xxhash64(id_col), id_col).limit(rows_per_class) for k in (0, 1)]
-    ids = materialise(drawn[0].unionByName(drawn[1]).select(F.col(id_col).alias("id"), "label"), "drawn")
-    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where(F.length("text") <= max_chars)
-    # At most 2 * rows_per_class pairs of integers are broadcast.
-    found = texts.join(F.broadcast(ids), "id").groupBy("id", "label").agg(F.min("text").alias("text"))
+    order = [F.xxhash64("id"), F.col("id")]
+    drawn = [known.where(F.col("label") == k).orderBy(*order).limit(rows_per_class) for k in (0, 1)]
+    # A window over at most rows_per_class rows of each class.
+    before = F.sum("size").over(Window.partitionBy("label").orderBy(*order)) - F.col("size")
+    ids = materialise(drawn[0].unionByName(drawn[1]).withColumn("before", before).where(F.col("before") < bytes_per_class).select("id", "label", "size"), "drawn")
+    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("size", F.octet_length("text"))
+    # At most 2 * rows_per_class triples of integers are broadcast.
+    found = texts.join(F.broadcast(ids), ["id", "size"]).groupBy("id", "label").agg(F.min("text").alias("text"))
     return materialise(found.select("label", "text"), "sample"), counts
 
 
@@ -82,6 +92,32 @@ def choose_features(sample: DataFrame, featuriser: Featuriser, most: int, least_
     return {r["feature"]: r["z"] for r in best.collect()}
 
 
+class _Ties:
+    """Versions of sentences as a sparse matrix, and the gradient of the variance of their scores within each group.
+
+    Only features whose count differs within a group take part: the others move no difference.
+    """
+
+    def __init__(self, groups: list[list[Counter]], place: dict[str, int]):
+        rows, cols, vals, of = [], [], [], []
+        for number, group in enumerate(groups):
+            differ = {f for c in group for f in c if f in place and len({d[f] for d in group}) > 1}
+            for c in group if differ else ():
+                own = sorted(place[f] for f in differ if c[f])
+                rows += [len(of)] * len(own)
+                cols += own
+                vals += [float(c[f]) for f in sorted((f for f in differ if c[f]), key=place.__getitem__)]
+                of.append(number)
+        self.rows, self.cols, self.vals = np.array(rows, np.int64), np.array(cols, np.int64), np.array(vals, np.float64)
+        _, self.of = np.unique(np.array(of, np.int64), return_inverse=True)
+        self.sizes, self.n = np.maximum(1, np.bincount(self.of)), len(of)
+
+    def gradient(self, w: np.ndarray) -> np.ndarray:
+        scores = np.bincount(self.rows, weights=self.vals * w[self.cols], minlength=self.n)
+        centred = scores - (np.bincount(self.of, weights=scores) / self.sizes)[self.of]
+        return np.bincount(self.cols, weights=self.vals * centred[self.rows], minlength=len(w))
+
+
 def fit(sample: DataFrame, counts: dict[int, int], featuriser: Featuriser, features: dict[str, float], l2: float = 1.0, sure_z: float = 0.0, ties: list[list[Counter]] | None = None, tie_weight: float = 0.0, steps: int = 200) -> Model:
     """Logistic regression over the chosen features, by accelerated gradient steps.
 
@@ -117,24 +153,10 @@ def fit(sample: DataFrame, counts: dict[int, int], featuriser: Featuriser, featu
     rows, cols, vals = rows[order], cols[order], vals[order]
 
     size, n = len(features), len(y)
-    tied, moved = np.zeros((0, 0)), np.zeros(0, np.int64)
-    if ties and tie_weight:
-        # Only features whose count differs within a group take part; the matrix has columns for these alone.
-        differ = sorted({f for group in ties for f in set().union(*group) if f in place and len({c[f] for c in group}) > 1}, key=place.__getitem__)
-        column, moved = {f: i for i, f in enumerate(differ)}, np.array([place[f] for f in differ], np.int64)
-        parts = []
-        for group in ties:
-            m = np.zeros((len(group), len(differ)))
-            for k, c in enumerate(group):
-                for f, v in c.items():
-                    if f in column:
-                        m[k, column[f]] = v
-            parts.append(m - m.mean(axis=0))
-        tied = np.concatenate(parts)
-        tied = tied[np.abs(tied).sum(axis=1) > 0]
+    tied = _Ties([] if not tie_weight else ties or [], place)
     scale = np.sqrt(np.maximum(1e-9, np.bincount(cols, weights=vals**2, minlength=size) / n))
     vals = vals / scale[cols]
-    tied = tied / scale[moved]
+    tied.vals = tied.vals / scale[tied.cols]
     positive, negative = max(1.0, y.sum()), max(1.0, n - y.sum())
     weight = np.where(y == 1, 0.5 * n / positive, 0.5 * n / negative)
     z = np.maximum(0.1, np.fromiter(features.values(), np.float64, size))
@@ -145,8 +167,8 @@ def fit(sample: DataFrame, counts: dict[int, int], featuriser: Featuriser, featu
         margin = np.bincount(rows, weights=vals * w[cols], minlength=n) + b
         error = weight * (1 / (1 + np.exp(-np.clip(margin, -40, 40))) - y)
         g = np.append(np.bincount(cols, weights=vals * error[rows], minlength=size) / n + charge * w / n, error.mean())
-        if len(tied):
-            g[moved] += 2 * tie_weight * (tied.T @ (tied @ w[moved])) / len(tied)
+        if tied.n:
+            g[:-1] += 2 * tie_weight * tied.gradient(w) / tied.n
         m1, m2 = 0.9 * m1 + 0.1 * g, 0.999 * m2 + 0.001 * g * g
         step = 0.1 * (1 - t / (steps + 1)) * (m1 / (1 - 0.9**t)) / (np.sqrt(m2 / (1 - 0.999**t)) + 1e-9)
         w, b = w - step[:-1], b - float(step[-1])

@@ -7,9 +7,10 @@ sizes that the method of moments fits to the spread between groups. A document's
 to its own log odds the damped difference between its path's and the table's log odds. Sparse
 sites therefore stay near the global prior.
 
-Null and empty texts are scored by the features of an empty text. A null site or path is a
-group of its own. Repeated rows count as often as they stand. Further columns are kept by
-keep_good and ignored by score. An empty table gives an empty table.
+Null and empty texts are scored by the features of an empty text. Very long texts and words are
+read whole, one row at a time. A null site or path is a group of its own. Repeated rows count as
+often as they stand; a posterior of exactly the cut is kept. Further columns are kept by
+keep_good, whatever their names, and ignored by score. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -22,8 +23,9 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from marlstone.llm._shared import materialise, maybe_broadcast, slices
+from marlstone.llm._shared import fresh, materialise, maybe_broadcast, resident, slices
 from marlstone.llm.bpe import Memo
 from marlstone.llm.linear import Model, choose_features, fit, labelled_sample
 
@@ -33,11 +35,12 @@ RUNS = re.compile(r"(.)\1+")
 
 def shape(word: str) -> str:
     """A word's outline: A for capitals, a for other letters, 0 for digits; runs become one."""
-    flat = "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in word[:64])
-    return RUNS.sub(r"\1", flat)[:6]
+    flat = "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in word)
+    return RUNS.sub(r"\1", flat)
 
 
-_shapes = Memo(shape, 100_000)
+def _shapes() -> Memo:
+    return resident("shapes", lambda: Memo(shape, 100_000))
 
 
 def step(x: float) -> int:
@@ -52,7 +55,7 @@ def features(text: str) -> Counter:
     out = Counter([f"words:{min(14, n.bit_length())}"])
     if not n:
         return out
-    by_shape = Counter(map(_shapes.__getitem__, words))
+    by_shape = Counter(map(_shapes().__getitem__, words))
     for s, k in by_shape.items():
         out[f"shape:{s}:{step(k / n)}"] = 1
     repeats = sum(map(str.__eq__, words, words[1:]))
@@ -68,18 +71,22 @@ def features(text: str) -> Counter:
     return out
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows_per_class: int = 5_000, max_chars: int = 50_000, max_features: int = 2_000, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """Fit on at most rows_per_class labelled rows of each class, of texts of at most max_chars characters."""
-    sample, counts = labelled_sample(docs, labels, label, rows_per_class, max_chars, id_col, text_col)
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows_per_class: int = 5_000, bytes_per_class: int = 256 << 20, max_features: int = 2_000, id_col: str = "doc_id", text_col: str = "text") -> Model:
+    """Fit on at most rows_per_class labelled rows of each class, or fewer where their texts exceed bytes_per_class."""
+    sample, counts = labelled_sample(docs, labels, label, rows_per_class, bytes_per_class, id_col, text_col)
     return fit(sample, counts, features, choose_features(sample, features, max_features, least_rows=5, least_z=3.0), l2=1.0)
 
 
+def _odds(model: Model, text: str | None) -> float:
+    return max(-30.0, min(30.0, model.log_odds(features(text or ""))))
+
+
 def evidence(docs: DataFrame, model: Model, id_col: str, text_col: str, site_col: str, path_col: str) -> DataFrame:
     """(id, site, path, odds, p) of every row: the classifier alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
-            odds = [max(-30.0, min(30.0, model.log_odds(features(t or "")))) for t in b.column(3).to_pylist()]
+            odds = [_odds(model, t) for t in b.column(3).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(odds, pa.float64())], ["id", "site", "path", "odds"])
 
     kind = docs.schema[id_col].dataType.simpleString()
@@ -129,21 +136,22 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 def keep_good(docs: DataFrame, model: Model, least: float = 0.5, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", path_col: str = "lang", damping: float = 0.5) -> DataFrame:
     """The rows of docs whose posterior is at least `least`, with all their columns.
 
-    The posterior differs from the classifier by a term of the row's group alone, so each group
-    gets a threshold on the classifier's log odds; texts are scored again beside their row, not
-    joined to their scores.
+    Each row is written once with its classifier's log odds beside it, so texts are read once. The
+    posterior differs from the classifier by a term of the row's group alone: each group gets a
+    threshold on the log odds. Names of added columns clash with none that docs brings.
     """
-    scored = evidence(docs, model, id_col, text_col, site_col, path_col)
-    logit = lambda c: F.log(F.greatest(c, F.lit(1e-6)) / F.greatest(1 - c, F.lit(1e-6)))
-    cut = F.lit(math.log(least / (1 - least))) - damping * (logit(F.col("path_mean")) - logit(F.col("global_mean")))
-    groups = materialise(posteriors(scored).select(F.col("site").alias("_of_site"), F.col("path").alias("_of_path"), cut.alias("_cut")), "cuts")
-    groups = maybe_broadcast(groups, F.coalesce(F.length("_of_site"), F.lit(0)) + F.coalesce(F.length("_of_path"), F.lit(0)) + 24)
-    rows = docs.join(groups, F.col(site_col).cast("string").eqNullSafe(F.col("_of_site")) & F.col(path_col).cast("string").eqNullSafe(F.col("_of_path"))).select(*docs.columns, "_cut")
+    odds, of_site, of_path, cut_of = map(fresh, ("odds", "site", "path", "cut"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, text_col):
-            texts, cuts = b.column(b.schema.get_field_index(text_col)).to_pylist(), b.column(b.num_columns - 1).to_pylist()
-            keep = [max(-30.0, min(30.0, model.log_odds(features(t or "")))) >= c for t, c in zip(texts, cuts, strict=True)]
-            yield b.filter(pa.array(keep, pa.bool_())).select(range(b.num_columns - 1))
+            found = [_odds(model, t) for t in b.column(b.schema.get_field_index(text_col)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.float64())], [*b.schema.names, odds])
 
-    return rows.mapInArrow(run, docs.schema)
+    rows = materialise(docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(odds, DoubleType())])), "odds")
+    scored = rows.select(F.col(site_col).cast("string").alias("site"), F.col(path_col).cast("string").alias("path"), (1 / (1 + F.exp(-F.col(odds)))).alias("p"))
+    logit = lambda c: F.log(F.greatest(c, F.lit(1e-6)) / F.greatest(1 - c, F.lit(1e-6)))
+    cut = F.lit(math.log(least / (1 - least))) - damping * (logit(F.col("path_mean")) - logit(F.col("global_mean")))
+    groups = materialise(posteriors(scored).select(F.col("site").alias(of_site), F.col("path").alias(of_path), cut.alias(cut_of)), "cuts")
+    groups = maybe_broadcast(groups, F.coalesce(F.length(of_site), F.lit(0)) + F.coalesce(F.length(of_path), F.lit(0)) + 24)
+    joined = rows.join(groups, F.col(site_col).cast("string").eqNullSafe(F.col(of_site)) & F.col(path_col).cast("string").eqNullSafe(F.col(of_path)))
+    return joined.where(F.col(odds) >= F.col(cut_of)).select(*(rows[c] for c in docs.columns))

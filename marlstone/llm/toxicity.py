@@ -9,8 +9,9 @@ the penalty holds on a corpus that mentions nobody.
 
 A score is the logistic function of a bias plus the evidence of the distinct words. Language,
 source, ids and labels are no inputs. Null, empty and blank texts get the score of the bias
-alone. Repeated rows get equal scores; further columns are ignored; an empty table gives an
-empty table; without labels the score of all texts is the share of toxic labels, or a half.
+alone. Very long texts and words are read whole, one row at a time. Repeated rows and ties get
+equal scores; further columns are ignored; an empty table gives an empty table; without labels
+the score of all texts is the share of toxic labels, or a half.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm._shared import slices
+from marlstone.llm._shared import resident, slices
 from marlstone.llm.bpe import Memo
 from marlstone.llm.linear import Model, choose_features, fit, held_out, labelled_sample
 
@@ -45,7 +46,6 @@ def word_features(chunk: str) -> list[str]:
     """Features of one chunk of lower-cased text between white space."""
     out = []
     for w in WORDS.findall(chunk):
-        w = w[:64]
         out.append(f"w:{w}")
         out.extend(f"p:{w[:k]}" for k in (3, 4, 5, 6) if len(w) > k)
         out.extend(f"s:{w[-k:]}" for k in (4, 5) if len(w) > k)
@@ -87,9 +87,9 @@ def swapped_sentences(sample: DataFrame, most: int) -> list[list[Counter]]:
     return groups
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows_per_class: int = 5_000, max_chars: int = 50_000, max_features: int = 4_000, swaps: int = 200, swap_weight: float = 5.0, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """Fit on at most rows_per_class labelled rows of each class, of texts of at most max_chars characters; the held-out fifth is never read."""
-    sample, counts = labelled_sample(docs, labels, label, rows_per_class, max_chars, id_col, text_col)
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows_per_class: int = 5_000, bytes_per_class: int = 256 << 20, max_features: int = 4_000, swaps: int = 200, swap_weight: float = 5.0, id_col: str = "doc_id", text_col: str = "text") -> Model:
+    """Fit on at most rows_per_class labelled rows of each class, or fewer where their texts exceed bytes_per_class; the held-out fifth is never read."""
+    sample, counts = labelled_sample(docs, labels, label, rows_per_class, bytes_per_class, id_col, text_col)
     chosen = choose_features(sample, features, max_features, least_rows=2)
     return fit(sample, counts, features, chosen, l2=1.0, sure_z=6.5, ties=swapped_sentences(sample, swaps), tie_weight=swap_weight)
 
@@ -99,7 +99,8 @@ class Scorer:
 
     def __init__(self, model: Model):
         self.bias, weights = model.bias, model.weights
-        self.evidence = Memo(lambda chunk: sum(weights[f] for f in set(word_features(chunk)) if f in weights), 150_000)
+        # sorted: a chunk's evidence is summed up in one order, whichever process does it
+        self.evidence = Memo(lambda chunk: sum(weights[f] for f in sorted(set(word_features(chunk))) if f in weights), 100_000)
 
     def __call__(self, text: str | None) -> float:
         # fsum: the same set of words gives the same score in whatever order it is walked
@@ -111,7 +112,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """(id, held_out, score, predicted) of every row, from its whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(model)
+        scorer = resident(f"toxicity {model.key}", lambda: Scorer(model))
         for b in slices(batches, "text"):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(scorer, b.column(1).to_pylist()), pa.float64())], ["id", "score"])
 
@@ -124,7 +125,7 @@ def keep_civil(docs: DataFrame, model: Model, text_col: str = "text") -> DataFra
     """The rows of docs that are not predicted toxic, with all their columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(model)
+        scorer = resident(f"toxicity {model.key}", lambda: Scorer(model))
         for b in slices(batches, text_col):
             yield b.filter(pa.array([scorer(t) < 0.5 for t in b.column(b.schema.get_field_index(text_col)).to_pylist()], pa.bool_()))
 

@@ -63,6 +63,29 @@ def test_take_keeps_texts_and_columns(spark, docs_of):
         assert n == (0 if not r["size"] else round(r["taken"] / r["size"] + 1e-12))
 
 
+CLASHES = "doc_id bigint, text string, source string, id bigint, size string, mark string, key string, copies string, of string, row string, _id string, _size string, _own string, _times string, _copy string, part string, extra string, each string"
+
+
+def test_take_with_clashing_names_repeats_and_unknown_ids(spark):
+    texts = [(None, f"t {k} " + "w " * (k % 9), "ab"[k % 2]) for k in range(60)] + [(5, "same same", "c")] * 40 + [(6, None, "c"), (7, "", "c")]
+    df = spark.createDataFrame([(*t, 1, *"abcdefghijklmn") for t in texts], CLASHES)
+    found = mixing.take(df).collect()
+    assert found and set(map(tuple, found)) <= {(*t, 1, *"abcdefghijklmn") for t in texts}
+    _, total, target = brute(texts)
+    for s in "abc":
+        got = sum(len(r["text"].split()) for r in found if r["source"] == s)
+        assert abs(got - target[s]) <= 11
+    plan = mixing.mix(df).collect()
+    assert len(plan) == len(texts) and sum(r["taken"] for r in plan if r["doc_id"] == 5) == pytest.approx(target["c"], abs=1)
+
+
+def test_a_row_that_stands_very_often_and_a_long_text(spark, docs_of):
+    rows = [(1, "a b", "s")] * 3000 + [(2, "x " * 300_000, "t")]
+    out = mixing.mix(docs_of(rows)).collect()
+    assert len(out) == 3001 and max(r["size"] for r in out) == 300_000
+    assert mixing._times(docs_of([(1, "a", "s")]), __import__("pyspark").sql.functions.lit(200_000)).count() == 200_000
+
+
 def test_empty(spark, docs_of):
     assert mixing.mix(docs_of([])).count() == 0
     assert mixing.take(docs_of([])).count() == 0
