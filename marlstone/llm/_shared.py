@@ -162,3 +162,17 @@ def small_enough(df: DataFrame, size: Column, most_bytes: int) -> bool:
 def maybe_broadcast(df: DataFrame, size: Column, most_bytes: int = 32 << 20) -> DataFrame:
     """df marked for broadcast if its measured size allows it; else as it is, for a shuffled join."""
     return F.broadcast(df) if small_enough(df, size, most_bytes) else df
+
+
+def join_counted(left: DataFrame, right: DataFrame, on: str, count: str, rows: int, hot: int = 1_000_000) -> DataFrame:
+    """left joined to right, whose rows are unique by `on` and say in `count` how often it stands in left, which has `rows` rows.
+
+    Keys that stand `hot` times or more are joined by broadcast, so none of them meets in one task;
+    there are at most rows / hot of them. With fewer rows than that no key can be hot.
+    """
+    if rows < hot:
+        return left.join(right, on)
+    left, right = materialise(left, "left"), materialise(right, "right")
+    heavy = F.broadcast(right.where(F.col(count) >= hot))
+    rest = left.join(heavy.select(on), on, "left_anti").join(right.where(F.col(count) < hot), on)
+    return rest.unionByName(left.join(heavy, on))

@@ -9,17 +9,19 @@
    compared sixteen minima at a time; it is dropped once the posterior probability that its
    similarity reaches the threshold is below `miss` (uniform prior). Survivors are confirmed on
    their full sets. So a bucket of n copies costs n pairs.
-4. Buckets that hold more than one component after that are searched, in blocks, for pairs
-   between different components, by the same sequential test and on full sets beside the
-   members; no row is written for a pair. Components are found again with these links. No bucket is capped and no pair is dropped
-   but by the tests above.
+4. Buckets that hold more than one component after that are searched for pairs between different
+   components: first, in blocks, by the sequential test on the signatures alone, which leaves the
+   members that have a plausible partner; then these, in blocks of bounded bytes, on their full
+   sets. No row is written for a pair. Components are found again with these links. No bucket is
+   capped and no pair is dropped but by the tests above.
 
 Lower-casing is of A-Z alone; words are runs of bytes other than blanks and 09-0D. A text with
 fewer words than a shingle has its whole sequence as its one shingle. Null, empty and blank
-texts have an empty set and are linked with nothing, not even each other. A row without id joins
-the component of its copies; without copies its component is null. Rows that share an id are
-documents of that id. Further columns are ignored by link and kept by keep_first. An empty table
-gives an empty table.
+texts have an empty set and are linked with nothing, not even each other. Very long texts are read
+whole, one at a time, at about 60 bytes of memory for each byte of text. A pair at exactly the
+threshold is linked. A row without id joins the component of its copies; without copies its
+component is null. Rows that share an id are documents of that id. Further columns are ignored by
+link and kept by keep_first, whatever their names. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -33,18 +35,22 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm._shared import as_bytes, materialise, mix64, slices
+from marlstone.llm._shared import as_bytes, fresh, join_counted, materialise, mix64, resident, slices
 from marlstone.llm.bpe import Memo
 from marlstone.llm.components import components
 
 MINIMA = 128
 STEP = 16
-BLOCK = 384
+BLOCK = 4096  # members whose signatures meet, 512 bytes each
+BLOCK_BYTES = 4 << 20  # of full sets that meet
 
 _rng = np.random.default_rng(20)
 _FACTORS = (_rng.integers(1 << 31, size=MINIMA, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
 _OFFSETS = _rng.integers(1 << 32, size=MINIMA, dtype=np.uint32)
-_words = Memo(xxhash.xxh3_64_intdigest, 150_000)
+
+
+def _words() -> Memo:
+    return resident("shingles", lambda: Memo(xxhash.xxh3_64_intdigest, 100_000))
 
 
 def shingles(text: bytes, k: int) -> np.ndarray:
@@ -53,7 +59,7 @@ def shingles(text: bytes, k: int) -> np.ndarray:
     n = len(words)
     if not n:
         return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_words.__getitem__, words), np.uint64, n)
+    h = np.fromiter(map(_words().__getitem__, words), np.uint64, n)
     width = min(n, k)
     acc = mix64(h[: n - width + 1] + np.uint64(width))
     for j in range(1, width):
@@ -235,20 +241,69 @@ def groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
+def _in_blocks(rows: DataFrame, blocks: F.Column) -> DataFrame:
+    """rows (with key and rep) once for each pair of blocks that their own block is part of, grouped by key and pair and sorted by it.
+
+    A bucket is cut into blocks by a hash of the member; each pair of blocks is a group of its
+    own, so no group exceeds two blocks however large the bucket.
+    """
+    columns = [c for c in rows.columns if c != "key"]
+    rows = rows.withColumn("blocks", blocks.cast("int")).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", *columns)
+    return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+
+def _partners(t: pa.Table, sig: np.ndarray, bands: int, rows_per_band: int, percent: int, least: list[int]) -> Iterator[tuple[int, np.ndarray]]:
+    """(member, its plausible partners) of a group, as places in it: of other components, of sizes that can reach the similarity, and this bucket's to see to.
+
+    Of the buckets that two members share, the one of the smallest key sees to the pair. Pairs of
+    different components all have a member outside the largest one, so that one is not walked.
+    """
+    own, component, n = (t.column(c).to_numpy() for c in ("own", "component", "n"))
+    crossed = t.column("i")[0].as_py() != t.column("j")[0].as_py()
+    names, of, sizes = np.unique(component, return_inverse=True, return_counts=True)
+    if len(names) < 2:
+        return
+    keys, own_key = band_keys(sig, bands, rows_per_band), t.column("key")[0].as_py()
+    for x in np.flatnonzero(of != np.argmax(sizes)):
+        other = (of != of[x]) & (100 * np.minimum(n, n[x]) >= percent * np.maximum(n, n[x]))
+        if crossed:
+            other &= own != own[x]
+        y = np.flatnonzero(other)
+        if len(y):
+            y = y[survivors(np.broadcast_to(sig[x], (len(y), MINIMA)), sig[y], least)]
+        if len(y):
+            shared = np.where(keys[y] == keys[x], keys[x], np.iinfo(np.int64).max).min(axis=1)
+            y = y[shared == own_key]
+        if len(y):
+            yield x, y
+
+
 def _between_components(members: DataFrame, found: DataFrame, docs: DataFrame, classes: DataFrame, k: int, percent: int, bands: int, rows_per_band: int, least: list[int], id_col: str, text_col: str, broadcast_rows: int = 1_000_000) -> DataFrame:
     """Links (u, v) between different components within a bucket, confirmed on full sets; every such pair is looked at.
 
-    Buckets with the same members count once. A bucket of more than BLOCK members is cut into
-    blocks by a hash of the member, and each pair of blocks is a group of its own, so no group
-    exceeds two blocks. Sets travel with the members and pairs are made and tested inside a
-    group, so no row is written for a pair; of a member's links to one component, which all say
-    the same, a group gives the closest.
+    Buckets with the same members count once. The first pass moves signatures alone; full sets are
+    made of, and move with, the members that have a plausible partner. Of a member's links to one
+    component, which all say the same, a group gives the closest.
     """
     labelled = members.join(found.withColumnsRenamed({"node": "rep"}), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     labelled = materialise(labelled.select("key", "rep", "component"), "labelled")
     mixed = labelled.groupBy("key").agg(F.count("*").alias("size"), F.min("component").alias("low"), F.max("component").alias("high"), F.sum(F.xxhash64(F.lit(1), "rep").cast("decimal(20,0)")).alias("h1"), F.sum(F.xxhash64(F.lit(2), "rep").cast("decimal(20,0)")).alias("h2")).where("low < high")
-    mixed = mixed.groupBy("size", "h1", "h2").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+    mixed = mixed.groupBy("size", "h1", "h2").agg(F.min("key").alias("key")).select("key", "size")
     rows = materialise(labelled.join(mixed, "key"), "mixed")
+    signed = classes.select("rep", "n", "sig")
+
+    def plausible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in groups(batches, 3):
+            sig = _matrix(t.column("sig").combine_chunks())
+            live = np.zeros(len(sig), bool)
+            for x, y in _partners(t, sig, bands, rows_per_band, percent, least):
+                live[x], live[y] = True, True
+            if live.any():
+                yield pa.RecordBatch.from_arrays([pa.array(t.column(c).to_numpy()[live]) for c in ("key", "rep", "component")], ["key", "rep", "component"])
+
+    first = _in_blocks(rows.join(signed, "rep"), F.ceil(F.col("size") / BLOCK)).drop("size")
+    live = materialise(first.mapInArrow(plausible, "key bigint, rep bigint, component bigint").distinct(), "live")
 
     def full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
@@ -256,41 +311,21 @@ def _between_components(members: DataFrame, found: DataFrame, docs: DataFrame, c
             keep = pa.array([xxhash.xxh3_128_digest(s) == d for s, d in zip(found, b.column(2).to_pylist(), strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.binary())], ["rep", "full"]).filter(keep)
 
-    texts = _texts_of(rows.select(F.col("rep").alias("id")), docs, classes, id_col, text_col, broadcast_rows)
+    texts = _texts_of(live.select(F.col("rep").alias("id")), docs, classes, id_col, text_col, broadcast_rows)
     sets = materialise(texts.mapInArrow(full_sets, "rep bigint, full binary").dropDuplicates(["rep"]), "sets")
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "component").join(sets, "rep")
-    rows = rows.select("key", "i", "j", "own", "rep", "component", "full").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    sized = live.join(signed, "rep")
+    blocks = sized.groupBy("key").agg(F.ceil(F.sum(8 * F.col("n") + 4 * MINIMA) / BLOCK_BYTES).alias("blocks_of"))
+    second = _in_blocks(sized.join(blocks, "key").join(sets, "rep"), F.col("blocks_of")).drop("blocks_of")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in groups(batches, 3):
-            own, rep, component = (t.column(c).to_numpy() for c in ("own", "rep", "component"))
-            crossed = t.column("i")[0].as_py() != t.column("j")[0].as_py()
-            names, of, sizes = np.unique(component, return_inverse=True, return_counts=True)
-            if len(names) < 2:
-                continue
-            sets = [np.frombuffer(x, np.uint64) for x in t.column("full").to_pylist()]
-            n = np.array([len(x) for x in sets])
-            sig = np.stack([signature(x) for x in sets])
-            keys, own_key = band_keys(sig, bands, rows_per_band), t.column("key")[0].as_py()
+            rep, component, n = (t.column(c).to_numpy() for c in ("rep", "component", "n"))
             # Numbers for the shingles of this group, members one after another.
-            values, flat = np.unique(np.concatenate(sets), return_inverse=True)
+            values, flat = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in t.column("full").to_pylist()]), return_inverse=True)
             starts = np.concatenate([[0], np.cumsum(n)[:-1]])
             marked = np.zeros(len(values), bool)
-            # Pairs of different components all have a member outside the largest one.
             out: list[tuple[int, int]] = []
-            for x in np.flatnonzero(of != np.argmax(sizes)):
-                other = (of != of[x]) & (100 * np.minimum(n, n[x]) >= percent * np.maximum(n, n[x]))
-                if crossed:
-                    other &= own != own[x]
-                y = np.flatnonzero(other)
-                # Of the buckets that two members share, the one of the smallest key sees to the pair.
-                shared = np.where(keys[y] == keys[x], keys[x], np.iinfo(np.int64).max).min(axis=1)
-                y = y[shared == own_key]
-                if len(y):
-                    y = y[survivors(np.broadcast_to(sig[x], (len(y), MINIMA)), sig[y], least)]
-                if not len(y):
-                    continue
+            for x, y in _partners(t, _matrix(t.column("sig").combine_chunks()), bands, rows_per_band, percent, least):
                 own_shingles = flat[starts[x] : starts[x] + n[x]]
                 marked[own_shingles] = True
                 common = np.add.reduceat(marked[flat], starts, dtype=np.int64)[y]
@@ -299,12 +334,12 @@ def _between_components(members: DataFrame, found: DataFrame, docs: DataFrame, c
                 linked = (common > 0) & (100 * common >= percent * union)
                 best: dict[int, tuple[float, int]] = {}
                 for z, c, u in zip(y[linked].tolist(), common[linked].tolist(), union[linked].tolist(), strict=True):
-                    best[of[z]] = max(best.get(of[z], (0.0, -int(rep[z]))), (c / u, -int(rep[z])))
+                    best[component[z]] = max(best.get(component[z], (0.0, -int(rep[z]))), (c / u, -int(rep[z])))
                 out.extend((int(rep[x]), -z) for _, z in best.values())
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in out], pa.int64()), pa.array([p[1] for p in out], pa.int64())], ["u", "v"])
 
-    return rows.mapInArrow(run, "u bigint, v bigint")
+    return second.mapInArrow(run, "u bigint, v bigint")
 
 
 def link(docs: DataFrame, k: int = 5, percent: int = 80, miss: float = 1e-6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -317,8 +352,8 @@ def link(docs: DataFrame, k: int = 5, percent: int = 80, miss: float = 1e-6, id_
     classes = materialise(classes.select("digest", "rep", "s.n", "s.sig"), "classes")
 
     keyed = _keyed(classes, bands, rows)
-    centres = keyed.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("c"), F.count("*").alias("size")).where("size > 1").select("key", F.col("c.rep").alias("centre"), F.col("c.n").alias("centre_n"))
-    members = materialise(keyed.join(centres, "key"), "members")
+    centres = keyed.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("c"), F.count("*").alias("size")).where("size > 1").select("key", F.col("c.rep").alias("centre"), F.col("c.n").alias("centre_n"), "size")
+    members = materialise(join_counted(keyed, centres, "key", "size", classes.count() * bands).drop("size"), "members")
     pairs = members.where((F.col("rep") != F.col("centre")) & _sizes_allow("n", "centre_n", percent)).select(F.col("rep").alias("a"), F.col("centre").alias("b")).distinct()
     plausible = materialise(_plausible(pairs, classes, least), "plausible")
     links = materialise(_confirm(plausible, docs, classes, k, percent, id_col, text_col), "links")
@@ -341,11 +376,12 @@ def keep_first(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "do
     Rows get a number of their own, stored with them, and are linked and removed by it: ids may be
     null or shared. Rows without words are in no group and all stay.
     """
-    rows = materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    found = materialise(link(rows, k, percent, id_col="_row", text_col=text_col, **more).select(F.col("_row").alias("row"), "component_id"), "found")
+    mine = fresh("row")
+    rows = materialise(docs.withColumn(mine, F.monotonically_increasing_id()), "rows")
+    found = materialise(link(rows, k, percent, id_col=mine, text_col=text_col, **more).select(F.col(mine).alias("row"), "component_id"), "found")
     several = found.groupBy("component_id").agg(F.count("*").alias("n")).where("n > 1").select("component_id")
-    ids = rows.select(F.col("_row").alias("row"), F.col(id_col).cast("bigint").alias("id"))
+    ids = rows.select(F.col(mine).alias("row"), F.col(id_col).cast("bigint").alias("id"))
     members = materialise(found.join(several, "component_id").join(ids, "row"), "members")
     first = members.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("unknown"), "id", "row")).alias("f")).select(F.col("f.row").alias("row"))
-    gone = members.join(first, "row", "left_anti").select(F.col("row").alias("_row"))
-    return rows.join(materialise(gone, "gone"), "_row", "left_anti").select(*docs.columns)
+    gone = members.join(first, "row", "left_anti").select(F.col("row").alias(mine))
+    return rows.join(materialise(gone, "gone"), mine, "left_anti").select(*(rows[c] for c in docs.columns))

@@ -69,6 +69,58 @@ def test_pairs_within_a_bucket_of_several_components():
     assert neardup.survivors(sigs[[0, 0]], sigs[[1, 2]], least).tolist() == [0]
 
 
+def crowded(components=500, copies=4, words=120, seed=11):
+    """Rows that meet in one bucket and stand in many components: families that share half of their words."""
+    rng = random.Random(seed)
+    shared = [f"s{i}" for i in range(words)]
+    rows = []
+    for c in range(components):
+        base = shared + [f"c{c}x{i}" for i in range(words // 2)]
+        for m in range(copies):
+            copy = list(base)
+            copy[-1 - rng.randrange(words // 2)] = f"m{c}y{m}"
+            rows.append(" ".join(copy))
+    return [(i, t) for i, t in enumerate(rows)]
+
+
+@pytest.mark.parametrize("block", [64, neardup.BLOCK])
+def test_a_bucket_of_many_members_and_components(spark, docs_of, monkeypatch, block):
+    """One bucket for all rows, so only the second phase can find the families; its blocks are crossed."""
+    monkeypatch.setattr(neardup, "BLOCK", block)
+    monkeypatch.setattr(neardup, "BLOCK_BYTES", 40_000 if block == 64 else neardup.BLOCK_BYTES)
+    monkeypatch.setattr(neardup, "banding", lambda threshold, miss: (1, 1))
+    monkeypatch.setattr(neardup, "signature", constant_first(neardup.signature))
+    rows = crowded(*((100, 3) if block == 64 else (500, 4)))
+    got = {r["doc_id"]: r["component_id"] for r in neardup.link(docs_of(rows), 3, 85).collect()}
+    size = 3 if block == 64 else 4
+    assert got == {i: i // size * size for i, _ in rows}
+
+
+def constant_first(make):
+    def signature(found):
+        out = make(found)
+        out[0] = 1
+        return out
+
+    return signature
+
+
+def test_clashing_names_and_a_long_text(spark):
+    long = " ".join(f"w{i}" for i in range(200_000))
+    df = spark.createDataFrame([(1, long, 0, "a", 1), (2, long + " end", 0, "b", 2), (3, "x", 0, "c", 3)], "doc_id bigint, text string, _row int, _gone string, component_id int")
+    out = neardup.keep_first(df)
+    assert out.columns == df.columns
+    assert sorted(map(tuple, out.select("doc_id", "_row", "_gone", "component_id").collect())) == [(1, 0, "a", 1), (3, 0, "c", 3)]
+
+
+def test_hubs_are_joined_apart(spark, monkeypatch):
+    from marlstone.llm import _shared, components as C
+
+    plain = spark.createDataFrame([(0, i) for i in range(1, 40)] + [(50, 51), (51, 52)], "u bigint, v bigint")
+    monkeypatch.setattr(C, "join_counted", lambda *a: _shared.join_counted(*a, hot=10))
+    assert {r["node"]: r["component"] for r in C.components(plain).collect()} == {**dict.fromkeys(range(40), 0), 50: 50, 51: 50, 52: 50}
+
+
 def test_parameters():
     assert neardup.banding(0.85, 1e-6) == (25, 5)
     assert neardup.banding(0.8, 1e-6) == (32, 4)
