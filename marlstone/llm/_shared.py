@@ -176,3 +176,17 @@ def join_counted(left: DataFrame, right: DataFrame, on: str, count: str, rows: i
     heavy = F.broadcast(right.where(F.col(count) >= hot))
     rest = left.join(heavy.select(on), on, "left_anti").join(right.where(F.col(count) < hot), on)
     return rest.unionByName(left.join(heavy, on))
+
+
+def left_join_counted(left: DataFrame, right: DataFrame, on: str, count: str, size: Column, hot: int = 1_000_000, most_bytes: int = 32 << 20) -> DataFrame:
+    """All rows of left, with right's columns where `on` is in it; right's rows are unique by `on`, and `count` says how often left has it.
+
+    right is broadcast if its measured size allows it. Beyond that only the keys that stand `hot`
+    times or more are, at most rows / hot of them; rows without key are joined to nothing.
+    """
+    if small_enough(right, size, most_bytes):
+        return left.join(F.broadcast(right), on, "left")
+    right = materialise(right, "right")
+    heavy = F.broadcast(right.where(F.col(count) >= hot))
+    rest = left.where(F.col(on).isNotNull()).join(heavy.select(on), on, "left_anti").join(right.where(F.col(count) < hot), on, "left")
+    return rest.unionByName(left.join(heavy, on)).unionByName(left.where(F.col(on).isNull()), allowMissingColumns=True)

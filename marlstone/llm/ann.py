@@ -1,19 +1,23 @@
 """Operator 8: approximate nearest neighbours by a robust-pruned directed graph in each shard.
 
-Vectors are dealt out to shards by a hash of their id. In a shard, greedy searches from an entry
-point propose neighbours for each vector; relaxed distance pruning keeps an edge only if no kept
-edge's end is closer to the candidate by a factor alpha, so edges spread in direction. Beam search then
-answers every query in every shard, and each query's best of all shards are ranked.
+Vectors are dealt out to shards by a hash; a shard is as large as a task's memory allows, since
+every query is asked in every shard. In a shard, greedy searches from an entry point propose
+neighbours for each vector; relaxed distance pruning keeps an edge only if no kept edge's end is
+closer to the candidate by a factor alpha, so edges spread in direction. Beam search then answers
+every query in every shard, and each query's best of all shards are ranked. Where a search ends
+with fewer rows than were asked for, or a shard is no larger than a beam, the shard is scanned.
 
-Nearness is the inner product. The graph lives in the space that turns it into distance, and equal vectors of a shard are one node: vectors
-get one more coordinate, the root of what their squared length lacks to the largest in the shard.
-Scores are inner products of the original vectors in double precision.
+Nearness is the inner product. The graph lives in the space that turns it into distance, and equal
+vectors of a shard are one node: vectors get one more coordinate, the root of what their squared
+length lacks to the largest in the shard. Scores are inner products of the original vectors in
+double precision.
 
 Null vectors, zero vectors and those with null or non-finite components take no part, either as
-queries or as candidates. A query's own row is no candidate; other rows with its id are none
-either. Ties go to the smaller id. Vectors of another length than the first seen in a shard meet
-only their like: shards are made per length. Further columns are ignored. An empty table, or
-one without queries, gives an empty table.
+queries or as candidates; nor do rows without id. Each row is a query or candidate of its own,
+also where several share an id or are equal: only a query's own row is no candidate of it. Ties go
+to the smaller id. Very long vectors make smaller shards; vectors of different length never meet,
+as shards are made per length. Further columns are ignored. An empty table, or one without
+queries, gives an empty table.
 """
 
 from __future__ import annotations
@@ -38,13 +42,15 @@ def lift(x: np.ndarray) -> np.ndarray:
 class Graph:
     """A directed graph over the rows of x (unit length), built in batches of growing size.
 
-    edges holds at most `degree` neighbours a row, padded by the row itself.
+    A row of edges has room for `degree` neighbours and half as many edges back, which are added
+    as they come; when the room is used up the row is pruned again. Free room holds the row itself.
     """
 
     def __init__(self, x: np.ndarray, degree: int = 32, beam: int = 64, alpha: float = 1.2, seed: int = 7):
         self.x, self.degree, self.beam, self.alpha = x, degree, beam, alpha
-        n = len(x)
-        self.edges = np.repeat(np.arange(n, dtype=np.int32)[:, None], degree, axis=1)
+        n, self.room = len(x), degree + degree // 2
+        self.edges = np.repeat(np.arange(n, dtype=np.int32)[:, None], self.room, axis=1)
+        self.used = np.zeros(n, np.int32)
         self.entry = int(np.argmax(x @ x.mean(axis=0)))
         order = np.random.default_rng(seed).permutation(n)
         order = np.concatenate([[self.entry], order[order != self.entry]])
@@ -58,7 +64,7 @@ class Graph:
             found, _ = self.search(x[batch], self.beam)
             self._connect(batch, found)
             done += len(batch)
-            size = min(1024, done)
+            size = min(2048, done)
 
     def search(self, q: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
         """Beam search of all rows of q together: (rows found, similarities), best first, beam columns.
@@ -93,13 +99,12 @@ class Graph:
             new = self.edges[heads].reshape(len(live), -1)
             fresh = ~seen[live[:, None], new]
             seen[live[:, None], new] = True
-            # Of a row that several heads lead to, the first place counts.
-            order = np.argsort(new, axis=1, kind="stable")
-            ranked = np.take_along_axis(new, order, axis=1)
-            double = np.zeros_like(fresh)
-            np.put_along_axis(double, order[:, 1:], ranked[:, 1:] == ranked[:, :-1], axis=1)
-            fresh &= ~double
             row, col = np.nonzero(fresh)
+            # Of a row that several heads lead to, the first place counts.
+            _, once = np.unique(row * n + new[row, col], return_index=True)
+            row, col = row[once], col[once]
+            fresh[:] = False
+            fresh[row, col] = True
             near = np.full(new.shape, -np.inf, np.float32)
             near[row, col] = np.einsum("ij,ij->i", self.x[new[row, col]], q[live[row]])
             all_ids = np.concatenate([ids[live], np.where(fresh, new, -1)], axis=1)
@@ -140,27 +145,34 @@ class Graph:
                 drop = self.alpha**2 * between[lines, k] <= far
                 alive &= ~drop
                 alive[lines, k] = False
-            self.edges[r] = chosen
+            self.edges[r] = np.concatenate([chosen, np.repeat(r[:, None], self.room - self.degree, axis=1)], axis=1)
+            self.used[r] = taken
 
     def _connect(self, batch: np.ndarray, candidates: np.ndarray) -> None:
         self.prune(batch, candidates)
-        heads, tails = np.repeat(batch, self.degree), self.edges[batch].ravel()
+        heads, tails = np.repeat(batch, self.degree), self.edges[batch, : self.degree].ravel()
         keep = heads != tails
         heads, tails = heads[keep], tails[keep]
         # Edges back: added where there is room for them, else chosen again among old and new.
         order = np.argsort(tails, kind="stable")
         heads, tails = heads[order], tails[order]
         rows, starts, counts = np.unique(tails, return_index=True, return_counts=True)
-        for width in (8, 32, 128, 1 << 30):
-            these = (counts <= width) & (counts > (0 if width == 8 else width // 4 if width < 1 << 30 else 128))
+        fits = self.used[rows] + counts <= self.room
+        place = np.arange(len(tails)) - np.repeat(starts, counts)
+        added = np.repeat(fits, counts)
+        self.edges[tails[added], (self.used[tails] + place)[added]] = heads[added]
+        self.used[rows[fits]] += counts[fits].astype(np.int32)
+        rows, starts, counts = rows[~fits], starts[~fits], counts[~fits]
+        for low, high in ((0, 8), (8, 32), (32, 128), (128, len(tails))):
+            these = (counts > low) & (counts <= high)
             if these.any():
                 most = int(counts[these].max())
                 at = starts[these][:, None] + np.arange(most)
-                inside = np.arange(most) < counts[these][:, None]
-                back = np.where(inside, heads[np.minimum(at, len(heads) - 1)], -1)
-                for i in range(0, len(back), max(1, (1 << 20) // (most + self.degree))):
-                    part = slice(i, i + max(1, (1 << 20) // (most + self.degree)))
-                    self.prune(rows[these][part], np.concatenate([self.edges[rows[these][part]], back[part]], axis=1))
+                back = np.where(np.arange(most) < counts[these][:, None], heads[np.minimum(at, len(heads) - 1)], -1)
+                step = max(1, (1 << 20) // (most + self.room))
+                for i in range(0, len(back), step):
+                    part = rows[these][i : i + step]
+                    self.prune(part, np.concatenate([self.edges[part], back[i : i + step]], axis=1))
 
 
 def valid(vector: Column) -> Column:
@@ -169,36 +181,83 @@ def valid(vector: Column) -> Column:
     return F.coalesce(finite & F.exists(vector, lambda v: v != 0), F.lit(False))
 
 
-def search(vectors: DataFrame, k: int = 20, every: int = 20, shard_rows: int = 16_384, degree: int = 32, beam: int = 160, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def scan(exact: np.ndarray, queries: np.ndarray, most: int) -> np.ndarray:
+    """The `most` nearest rows of exact for each query, by comparing all."""
+    out = np.empty((len(queries), most), np.int64)
+    step = max(1, (16 << 20) // len(exact))
+    for i in range(0, len(queries), step):
+        far = -(queries[i : i + step] @ exact.T)
+        out[i : i + step] = np.argpartition(far, most - 1, axis=1)[:, :most] if most < len(exact) else np.arange(len(exact))
+    return out
+
+
+class Shard:
+    """The rows of a shard, its distinct vectors, and their graph."""
+
+    def __init__(self, ids: np.ndarray, rows: np.ndarray, values: np.ndarray, degree: int, beam: int):
+        self.exact, group = np.unique(values, axis=0, return_inverse=True)
+        group = group.ravel()
+        order = np.lexsort((rows, ids, group))
+        self.ids, self.rows = ids[order], rows[order]
+        self.starts = np.searchsorted(group[order], np.arange(len(self.exact) + 1))
+        self.graph = Graph(lift(self.exact), degree, beam)
+
+    def answer(self, query_rows: np.ndarray, queries: np.ndarray, k: int, beam: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place of the query, id, score) of the k best rows of this shard for each query."""
+        n, beam = len(self.exact), max(beam, 2 * k)
+        if n <= beam:
+            found = scan(self.exact, queries, n)
+        else:
+            q = np.column_stack([queries / np.sqrt((queries**2).sum(axis=1))[:, None], np.zeros(len(queries))]).astype(np.float32)
+            found = self.graph.search(q, beam)[0].astype(np.int64)
+            short = np.flatnonzero((found >= 0).sum(axis=1) <= k)
+            if len(short):
+                found[short] = -1
+                found[short, : k + 1] = scan(self.exact, queries[short], k + 1)
+        row, col = np.nonzero(found >= 0)
+        at = found[row, col]
+        scores = np.einsum("ij,ij->i", self.exact[at], queries[row])
+        # Rows of one vector are one node; of them the k + 1 smallest ids can matter, one being the query's own row.
+        several = np.minimum(self.starts[at + 1] - self.starts[at], k + 1)
+        step = np.arange(several.sum()) - np.repeat(np.cumsum(several) - several, several)
+        place = np.repeat(self.starts[at], several) + step
+        row, scores = np.repeat(row, several), np.repeat(scores, several)
+        keep = self.rows[place] != query_rows[row]
+        row, scores, other = row[keep], scores[keep], self.ids[place[keep]]
+        # The k best of this shard: ties to the smaller id.
+        order = np.lexsort((other, -scores, row))
+        row, scores, other = row[order], scores[order], other[order]
+        keep = np.arange(len(row)) - np.searchsorted(row, row, side="left") < k
+        return row[keep], other[keep], scores[keep]
+
+
+def search(vectors: DataFrame, k: int = 20, every: int = 20, shard_bytes: int = 96 << 20, degree: int = 32, beam: int = 160, id_col: str = "vec_id", vector_col: str = "embedding", shard_rows: int | None = None) -> DataFrame:
     """(query_id, rank, id, score): the k nearest found of every row whose id is divisible by `every`.
 
     Each shard is built and searched in one task, from its rows and all queries; queries are sent
-    to the shards a block at a time by a shuffle, not by broadcast. Every vector is indexed.
+    to the shards a block at a time by a shuffle, not by broadcast. Every vector is indexed. A
+    shard's vectors and edges take shard_bytes, unless shard_rows says how many rows it has.
     """
     rows = vectors.where(valid(F.col(vector_col)) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
-    rows = rows.withColumn("dim", F.size("v"))
-    rows = materialise(rows, "vectors")
+    rows = materialise(rows.withColumn("dim", F.size("v")).withColumn("row", F.monotonically_increasing_id()), "vectors")
     counted = {r["dim"]: r["n"] for r in rows.groupBy("dim").agg(F.count("*").alias("n")).collect()}
     if not counted:
         return rows.select(F.col("id").alias("query_id"), F.lit(1).alias("rank"), F.col("id").alias(id_col), F.lit(0.0).alias("score")).limit(0)
+
+    def shards_of(dim: int, n: int) -> int:
+        room = shard_rows or max(1, shard_bytes // (12 * dim + 6 * degree + 24))
+        return max(1, -(-n // room))
+
     # One row for each length of vector that occurs; a table has one as a rule.
-    shards = F.create_map(*[F.lit(x) for d, n in counted.items() for x in (d, max(1, -(-n // shard_rows)))])
+    shards = F.create_map(*[F.lit(x) for d, n in counted.items() for x in (d, shards_of(d, n))])
     spread = rows.withColumn("shards", shards[F.col("dim")])
-    stored = spread.withColumn("shard", F.pmod(F.xxhash64("id"), F.col("shards")).cast("int")).withColumn("query", F.lit(False))
+    stored = spread.withColumn("shard", F.pmod(F.xxhash64("id", "row"), F.col("shards")).cast("int")).withColumn("query", F.lit(False))
     asked = spread.where(F.col("id") % every == 0).withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1))).withColumn("query", F.lit(True))
-    columns = ["dim", "shard", "query", "id", "v"]
-    dealt = stored.select(*columns).unionByName(asked.select(*columns)).repartition("dim", "shard").sortWithinPartitions("dim", "shard", "query", "id")
+    columns = ["dim", "shard", "query", "id", "row", "v"]
+    dealt = stored.select(*columns).unionByName(asked.select(*columns)).repartition("dim", "shard").sortWithinPartitions("dim", "shard", "query", "row")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, parts, graph = None, [], None
-
-        def built() -> tuple:
-            ids = np.concatenate([p[0] for p in parts])
-            exact, group = np.unique(np.concatenate([p[1] for p in parts]), axis=0, return_inverse=True)
-            order = np.lexsort((ids, group.ravel()))
-            starts = np.searchsorted(group.ravel()[order], np.arange(len(exact) + 1))
-            return ids[order], starts, exact, Graph(lift(exact), degree, beam)
-
+        key, parts, shard = None, [], None
         for b in batches:
             if not b.num_rows:
                 continue
@@ -209,37 +268,21 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, shard_rows: int = 1
             for s, e in zip(edges, edges[1:], strict=False):
                 now = (int(dims[s]), int(shard_of[s]))
                 if now != key:
-                    key, parts, graph = now, [], None
-                ids = np.asarray(b.column(3).slice(s, e - s))
-                values = b.column(4).slice(s, e - s).flatten().to_numpy().reshape(e - s, now[0])
+                    key, parts, shard = now, [], None
+                ids, own = np.asarray(b.column(3).slice(s, e - s)), np.asarray(b.column(4).slice(s, e - s))
+                values = b.column(5).slice(s, e - s).flatten().to_numpy().reshape(e - s, now[0])
                 if not asks[s]:
-                    parts.append((ids, values))
-                    continue
-                if not parts:
+                    parts.append((ids, own, values))
                     continue
-                if graph is None:
-                    graph = built()
-                yield answer(*graph, ids, values)
-
-    def answer(ids: np.ndarray, starts: np.ndarray, exact: np.ndarray, graph: Graph, query_ids: np.ndarray, queries: np.ndarray) -> pa.RecordBatch:
-        lengths = np.sqrt((queries**2).sum(axis=1))
-        q = np.column_stack([queries / lengths[:, None], np.zeros(len(queries))]).astype(np.float32)
-        found, _ = graph.search(q, max(beam, 2 * k))
-        row, col = np.nonzero(found >= 0)
-        at = found[row, col]
-        scores = np.einsum("ij,ij->i", exact[at], queries[row])
-        # Rows of one vector are one node; of them the k + 1 smallest ids can matter, one being the query's own.
-        n = np.minimum(starts[at + 1] - starts[at], k + 1)
-        step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        row, scores, other = np.repeat(row, n), np.repeat(scores, n), ids[np.repeat(starts[at], n) + step]
-        keep = other != query_ids[row]
-        row, scores, other = row[keep], scores[keep], other[keep]
-        # The k best of this shard: ties to the smaller id.
-        order = np.lexsort((other, -scores, row))
-        row, scores, other = row[order], scores[order], other[order]
-        keep = np.arange(len(row)) - np.searchsorted(row, row, side="left") < k
-        return pa.RecordBatch.from_arrays([pa.array(query_ids[row[keep]]), pa.array(other[keep]), pa.array(scores[keep])], ["query_id", "id", "score"])
+                if shard is None:
+                    if not parts:
+                        continue
+                    shard = Shard(*(np.concatenate([p[i] for p in parts]) for i in range(3)), degree, max(64, 2 * degree))
+                    parts = []
+                row, other, scores = shard.answer(own, values, k, beam)
+                yield pa.RecordBatch.from_arrays([pa.array(own[row]), pa.array(ids[row]), pa.array(other), pa.array(scores)], ["asked", "query_id", "id", "score"])
 
-    near = dealt.mapInArrow(run, "query_id bigint, id bigint, score double")
-    ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= k)
+    near = dealt.mapInArrow(run, "asked bigint, query_id bigint, id bigint, score double")
+    # Of each query row, k rows of each shard meet.
+    ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("asked").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", F.col("id").alias(id_col), "score")

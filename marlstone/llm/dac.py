@@ -12,8 +12,9 @@ Footer: for each block its offset and first token, for each document its id and
 the three counts, and the magic number. Integers are little-endian.
 
 Inputs: null texts count as empty; each document gets the end id all the same. A null id sorts
-first. Rows that share an id follow each other in the order of their texts. Further columns are
-ignored. An empty table gives no file and an empty result.
+first. Rows that share an id follow each other in the order of a hash of their texts. Very long
+texts are encoded whole, one at a time, and lie in as many blocks as they need. Further columns
+are ignored. An empty table gives no file and an empty result.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlstone.llm._shared import materialise, scratch_path, slices
+from marlstone.llm._shared import materialise, resident, scratch_path, slices
 from marlstone.llm.bpe import Chunker, byte_letters
 
 MAGIC = b"DACTOKS1"
@@ -147,7 +148,7 @@ class Reader:
     """Random access to a file: token(i), or documents() in order."""
 
     def __init__(self, source: pa.NativeFile):
-        self.source = source
+        self.source, self.heads = source, {}
         size = source.size()
         n_blocks, n_docs, self.tokens = struct.unpack("<3q", source.read_at(24, size - 32))
         if source.read_at(8, size - 8) != MAGIC:
@@ -162,9 +163,42 @@ class Reader:
         end = int(self.blocks[k + 1, 0]) if k + 1 < len(self.blocks) else self.end
         return Block(self.source.read_at(end - at, at))
 
+    def _levels(self, k: int) -> list[tuple[int, int, int, int]]:
+        """(length, where the chunks begin, where the bitmap does, where the rank directory does) of each level of block k, from its header."""
+        if k not in self.heads:
+            at = int(self.blocks[k, 0])
+            _, n = struct.unpack("<2I", self.source.read_at(8, at))
+            lengths = struct.unpack(f"<{n}I", self.source.read_at(4 * n, at + 8))
+            at, out = at + 8 + 4 * n, []
+            for j, length in enumerate(lengths):
+                bits = at + length
+                ranks = bits + -(-length // 8)
+                out.append((length, at, bits, ranks))
+                at = ranks + 4 * -(-length // RANK_BITS) if j + 1 < n else bits
+            if len(self.heads) >= 256:
+                self.heads.clear()
+            self.heads[k] = out
+        return self.heads[k]
+
     def token(self, i: int) -> int:
+        """Token i, from one chunk, one rank and a part of one bitmap block (64 bytes at most) of each level it has."""
+        if not 0 <= i < self.tokens:
+            raise IndexError(i)
         k = int(np.searchsorted(self.blocks[:, 1], i, side="right")) - 1
-        return self.block(k)[i - int(self.blocks[k, 1])]
+        i -= int(self.blocks[k, 1])
+        levels, value = self._levels(k), 0
+        for j, (_, chunks, bits, ranks) in enumerate(levels):
+            value |= self.source.read_at(1, chunks + i)[0] << (8 * j)
+            if j + 1 == len(levels):
+                break
+            block = i // RANK_BITS
+            first = block * RANK_BITS // 8
+            held = int.from_bytes(self.source.read_at((i >> 3) + 1 - first, bits + first), "little")
+            place = i - block * RANK_BITS
+            if not held >> place & 1:
+                break
+            i = struct.unpack("<I", self.source.read_at(4, ranks + 4 * block))[0] + (held & ((1 << place) - 1)).bit_count()
+        return value
 
     def documents(self) -> Iterator[tuple[int | None, int, list[np.ndarray]]]:
         """(document id, its first token in this file, its ids in parts), holding one block at a time."""
@@ -190,7 +224,7 @@ class LibraryEncoder:
     whole.
     """
 
-    def __init__(self, path: str, remember: int = 300_000):
+    def __init__(self, path: str, remember: int = 200_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -214,13 +248,8 @@ class LibraryEncoder:
         return np.frombuffer(self._ids(text), "u4")
 
 
-_encoders: dict[str, LibraryEncoder] = {}
-
-
 def encoder(path: str) -> LibraryEncoder:
-    if path not in _encoders:
-        _encoders[path] = LibraryEncoder(path)
-    return _encoders[path]
+    return resident(f"library {path}", lambda: LibraryEncoder(path))
 
 
 def write_token_files(docs: DataFrame, folder: str, path: str, end_id: int | None = 2, id_col: str = "doc_id", text_col: str = "text", encode: Callable | None = None) -> DataFrame:
@@ -250,7 +279,10 @@ def write_token_files(docs: DataFrame, folder: str, path: str, end_id: int | Non
             writer.close()
             yield pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId()], pa.int64()), "file": [f"{folder}/{name}"], "first_id": pa.array([least], pa.int64()), "n_docs": pa.array([len(writer.docs)], pa.int64()), "n_tokens": pa.array([writer.tokens], pa.int64())})
 
-    ordered = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).repartitionByRange(F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), "text")
+    # Rows that share an id are told apart by a hash of their text, and equal ones by their place, so no id fills a range.
+    order = [F.col("id").asc_nulls_first(), F.col("hash"), F.col("place")]
+    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).select("id", "text", F.xxhash64("text").alias("hash"), F.monotonically_increasing_id().alias("place"))
+    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("id", "text")
     manifest = materialise(ordered.mapInArrow(run, "part bigint, file string, first_id bigint, n_docs bigint, n_tokens bigint"), "manifest")
     # One row a file: its number grows with the tables' bytes over the size of a partition.
     return manifest.select("*", (F.sum("n_tokens").over(Window.orderBy("part")) - F.col("n_tokens")).alias("start"))
@@ -265,8 +297,12 @@ def read_token_files(manifest: DataFrame, id_col: str = "doc_id") -> DataFrame:
                 fs, root = pafs.FileSystem.from_uri(file)
                 with fs.open_input_file(root) as source:
                     out: list[tuple] = []
-                    for doc_id, first, parts in Reader(source).documents():
+                    reader = Reader(source)
+                    for doc_id, first, parts in reader.documents():
                         crc = 0
+                        # Each document's last id is read by its address as well.
+                        if parts and reader.token(first + sum(map(len, parts)) - 1) != parts[-1][-1]:
+                            raise ValueError(f"{file}: the codes of document {doc_id} disagree")
                         for p in parts:
                             crc = zlib.crc32(np.ascontiguousarray(p, "<u4"), crc)
                         out.append((doc_id, base + first, sum(map(len, parts)), crc))

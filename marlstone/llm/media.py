@@ -7,7 +7,9 @@ stands at the start decides the true type, which corrects the declared one; what
 elsewhere is embedded media, carved by offset and length.
 
 Null payloads count as empty and have the type application/octet-stream. Equal payloads give
-equal results. Further columns are ignored. An empty table gives an empty table.
+equal results. Very long payloads are held whole, one at a time; where no end mark follows, its
+absence is found once, not at each place. Further columns are ignored. An empty table gives an
+empty table.
 """
 
 from __future__ import annotations
@@ -43,10 +45,33 @@ SIGNATURES = [
     (b"MM\x00*", 0, "image/tiff"),
 ]
 
-Found = tuple[str, int]  # media type, length
+Found = tuple[str, int, frozenset]  # media type, length, and where the format's own signatures stand inside
 
 
-def _riff(d: bytes, at: int) -> Found | None:
+class Payload(bytes):
+    """Bytes that remember where a mark stands next, so places that follow each other search once."""
+
+    def next(self, mark: bytes, at: int) -> int:
+        """Where mark stands first from `at` on, or -1; asked for ascending places."""
+        known = self.__dict__.setdefault("known", {})
+        start, found = known.get(mark, (None, None))
+        if start is None or at < start or 0 <= found < at:
+            start, found = known[mark] = (at, self.find(mark, at))
+        return found
+
+    def last(self, mark: bytes, end: int) -> int:
+        """Where mark stands last before `end`, or -1."""
+        known = self.__dict__.setdefault("lasts", {})
+        if (mark, end) not in known:
+            known.clear()
+            known[mark, end] = self.rfind(mark, 0, end)
+        return known[mark, end]
+
+
+NONE: frozenset = frozenset()
+
+
+def _riff(d: Payload, at: int) -> Found | None:
     if len(d) < at + 12:
         return None
     size, form = struct.unpack_from("<I4s", d, at + 4)
@@ -62,10 +87,10 @@ def _riff(d: bytes, at: int) -> Found | None:
         pos += 8 + n + (n & 1)
     if kind == "audio/wav" and not {b"fmt ", b"data"} <= seen:
         return None
-    return (kind, end - at) if seen and end <= pos <= end + 1 else None
+    return (kind, end - at, NONE) if seen and end <= pos <= end + 1 else None
 
 
-def _png(d: bytes, at: int) -> Found | None:
+def _png(d: Payload, at: int) -> Found | None:
     pos, first = at + 8, True
     while pos + 12 <= len(d):
         n, name = struct.unpack_from(">I4s", d, pos)
@@ -75,11 +100,11 @@ def _png(d: bytes, at: int) -> Found | None:
             return None
         pos, first = pos + 12 + n, False
         if name == b"IEND":
-            return "image/png", pos - at
+            return "image/png", pos - at, NONE
     return None
 
 
-def _gif(d: bytes, at: int) -> Found | None:
+def _gif(d: Payload, at: int) -> Found | None:
     if len(d) < at + 13:
         return None
     flags = d[at + 10]
@@ -92,7 +117,7 @@ def _gif(d: bytes, at: int) -> Found | None:
 
     while pos < len(d):
         if d[pos] == 0x3B:
-            return "image/gif", pos + 1 - at
+            return "image/gif", pos + 1 - at, NONE
         if d[pos] == 0x21:
             pos = blocks(pos + 2)
         elif d[pos] == 0x2C and pos + 10 < len(d):
@@ -103,7 +128,7 @@ def _gif(d: bytes, at: int) -> Found | None:
     return None
 
 
-def _jpeg(d: bytes, at: int) -> Found | None:
+def _jpeg(d: Payload, at: int) -> Found | None:
     pos, frame = at + 2, False
     while pos + 4 <= len(d) and d[pos] == 0xFF:
         mark = d[pos + 1]
@@ -113,68 +138,132 @@ def _jpeg(d: bytes, at: int) -> Found | None:
         frame |= 0xC0 <= mark <= 0xCF and mark not in (0xC4, 0xC8, 0xCC)
         pos += 2 + n
         if mark == 0xDA:
-            end = d.find(b"\xff\xd9", pos)
-            return ("image/jpeg", end + 2 - at) if frame and end >= 0 else None
+            end = d.next(b"\xff\xd9", pos)
+            return ("image/jpeg", end + 2 - at, NONE) if frame and end >= 0 else None
     return None
 
 
-def _pdf(d: bytes, at: int) -> Found | None:
+def _pdf(d: Payload, at: int) -> Found | None:
     if len(d) < at + 8 or not d[at + 5 : at + 6].isdigit():
         return None
-    end = d.find(b"%%EOF", at)
-    return ("application/pdf", end + 5 - at) if end >= 0 and b"startxref" in d[at:end] else None
+    end = d.next(b"%%EOF", at)
+    return ("application/pdf", end + 5 - at, NONE) if end >= 0 and d.last(b"startxref", end) > at else None
 
 
-def _zip(d: bytes, at: int) -> Found | None:
-    end = d.find(b"PK\x05\x06", at)
+def _zip(d: Payload, at: int) -> Found | None:
+    end = d.next(b"PK\x05\x06", at)
     if end < 0 or end + 22 > len(d):
         return None
-    size, offset, comment = struct.unpack_from("<IIH", d, end + 12)
+    entries, size, offset, comment = struct.unpack_from("<HIIH", d, end + 10)
     if at + offset + size != end or end + 22 + comment > len(d):
         return None
-    return "application/zip", end + 22 + comment - at
+    pos, own = at + offset, set()
+    for _ in range(entries):
+        if d[pos : pos + 4] != b"PK\x01\x02" or pos + 46 > end:
+            return None
+        lengths, start = struct.unpack_from("<3H", d, pos + 28), struct.unpack_from("<I", d, pos + 42)[0]
+        own.add(at + start)
+        pos += 46 + sum(lengths)
+    return ("application/zip", end + 22 + comment - at, frozenset(own)) if pos == end else None
 
 
-def _gzip(d: bytes, at: int) -> Found | None:
-    inflate = zlib.decompressobj(wbits=31)
+def _gzip(d: Payload, at: int, step: int = 1 << 16) -> Found | None:
+    inflate, view, pos = zlib.decompressobj(wbits=31), memoryview(d), at
     try:
-        rest = d[at:]
-        while not inflate.eof:
-            if not inflate.decompress(rest, 1 << 20) and not inflate.unconsumed_tail:
-                break
-            rest = inflate.unconsumed_tail
+        while not inflate.eof and pos < len(d):
+            rest = view[pos : pos + step]
+            while len(rest) and not inflate.eof:  # what comes out is bounded, and thrown away
+                inflate.decompress(rest, 1 << 20)
+                rest = inflate.unconsumed_tail
+            pos += step
     except zlib.error:
         return None
-    return ("application/gzip", len(d) - at - len(inflate.unused_data)) if inflate.eof else None
+    return ("application/gzip", min(pos, len(d)) - at - len(inflate.unused_data), NONE) if inflate.eof else None
 
 
-def _ogg(d: bytes, at: int) -> Found | None:
-    pos = at
+def _ogg(d: Payload, at: int) -> Found | None:
+    pos, own = at, set()
     while d[pos : pos + 4] == b"OggS" and pos + 27 <= len(d) and d[pos + 4] == 0:
+        own.add(pos)
         n = d[pos + 26]
         end = pos + 27 + n + sum(d[pos + 27 : pos + 27 + n])
         if end > len(d):
             return None
         last, pos = d[pos + 5] & 4, end
         if last:
-            return "audio/ogg", pos - at
+            return "audio/ogg", pos - at, frozenset(own)
     return None
 
 
-def _flac(d: bytes, at: int) -> Found | None:
-    pos, first = at + 4, True
-    while pos + 4 <= len(d):
-        head = d[pos]
-        n = int.from_bytes(d[pos + 1 : pos + 4], "big")
+def _crc_table(polynomial: int, bits: int) -> list[int]:
+    out, top = [], 1 << bits - 1
+    for byte in range(256):
+        crc = byte << bits - 8
+        for _ in range(8):
+            crc = crc << 1 ^ (polynomial if crc & top else 0)
+        out.append(crc & (1 << bits) - 1)
+    return out
+
+
+# Polynomials of a frame's header and of the whole frame.
+_CRC8, _CRC16 = _crc_table(0x07, 8), _crc_table(0x8005, 16)
+
+
+def _flac_frame(d: bytes, pos: int) -> int | None:
+    """Samples of the frame whose header stands at pos, if its check sum is right."""
+    if pos + 6 > len(d) or d[pos] != 0xFF or d[pos + 1] & 0xFE != 0xF8:
+        return None
+    code, rate = d[pos + 2] >> 4, d[pos + 2] & 15
+    lead = d[pos + 4]
+    more = 0 if lead < 0x80 else 8 - (lead ^ 0xFF).bit_length() - 1
+    end = pos + 5 + max(0, more)
+    if not code or rate == 15:
+        return None
+    size = 192 if code == 1 else 576 << code - 2 if code < 6 else 256 << code - 8 if code > 7 else 0
+    if code in (6, 7):
+        size, end = int.from_bytes(d[end : end + code - 5], "big") + 1, end + code - 5
+    end += (1 if rate == 12 else 2) if rate >= 12 else 0
+    if end >= len(d):
+        return None
+    crc = 0
+    for byte in d[pos:end]:
+        crc = _CRC8[crc ^ byte]
+    return size if crc == d[end] else None
+
+
+def _flac(d: Payload, at: int) -> Found | None:
+    """Blocks of metadata, then frames: each ends where its check sum comes out and the next one, or as many samples as were declared, follow."""
+    pos, first, samples = at + 4, True, 0
+    while True:
+        if pos + 4 > len(d):
+            return None
+        head, n = d[pos], int.from_bytes(d[pos + 1 : pos + 4], "big")
         if first and (head & 0x7F or n != 34) or pos + 4 + n > len(d):
             return None
+        if first:
+            samples = int.from_bytes(d[pos + 14 : pos + 22], "big") & (1 << 36) - 1
         pos, first = pos + 4 + n, False
         if head & 0x80:
-            return ("audio/flac", len(d) - at) if d[pos : pos + 2] in (b"\xff\xf8", b"\xff\xf9") else None
+            break
+    seen = 0
+    while (size := _flac_frame(d, pos)) is not None:
+        seen += size
+        crc, end, after = 0, pos, None
+        for byte in memoryview(d)[pos:]:
+            crc = (crc << 8 & 0xFFFF) ^ _CRC16[crc >> 8 ^ byte]
+            end += 1
+            if not crc and end > pos + 6 and (end == len(d) or (samples and seen >= samples) or _flac_frame(d, end) is not None):
+                after = end
+                break
+        if after is None:
+            return None
+        pos = after
+        if pos == len(d) or samples and seen >= samples:
+            return "audio/flac", pos - at, NONE
     return None
 
 
-def _mp4(d: bytes, at: int) -> Found | None:
+def _mp4(d: Payload, at: int) -> Found | None:
     pos, seen = at, set()
     while pos + 8 <= len(d):
         n, name = struct.unpack_from(">I4s", d, pos)
@@ -182,21 +271,41 @@ def _mp4(d: bytes, at: int) -> Found | None:
             break
         seen.add(name)
         pos += n
-    return ("video/mp4", pos - at) if {b"ftyp", b"moov"} <= seen else None
+    return ("video/mp4", pos - at, NONE) if {b"ftyp", b"moov"} <= seen else None
 
 
-def _tiff(d: bytes, at: int) -> Found | None:
+def _tiff(d: Payload, at: int) -> Found | None:
+    """Directories, the values they point to, and the strips or tiles: the length is the end of the last of these."""
     order = "<" if d[at : at + 2] == b"II" else ">"
     if len(d) < at + 8:
         return None
-    ifd = struct.unpack_from(f"{order}I", d, at + 4)[0]
-    if ifd < 8 or at + ifd + 2 > len(d):
-        return None
-    n = struct.unpack_from(f"{order}H", d, at + ifd)[0]
-    return ("image/tiff", len(d) - at) if n and at + ifd + 2 + 12 * n + 4 <= len(d) else None
-
-
-VALIDATORS: dict[str, Callable[[bytes, int], Found | None]] = {"riff": _riff, "image/png": _png, "image/gif": _gif, "image/jpeg": _jpeg, "application/pdf": _pdf, "application/zip": _zip, "application/gzip": _gzip, "audio/ogg": _ogg, "audio/flac": _flac, "video/mp4": _mp4, "image/tiff": _tiff}
+    widths, far = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8}, 8
+    ifd, walked = struct.unpack_from(f"{order}I", d, at + 4)[0], set()
+    while ifd:
+        if ifd < 8 or ifd in walked or at + ifd + 2 > len(d):
+            return None
+        walked.add(ifd)
+        n = struct.unpack_from(f"{order}H", d, at + ifd)[0]
+        if not n or at + ifd + 6 + 12 * n > len(d):
+            return None
+        far, held = max(far, ifd + 6 + 12 * n), {}
+        for k in range(n):
+            entry = at + ifd + 2 + 12 * k
+            tag, kind, count = struct.unpack_from(f"{order}HHI", d, entry)
+            size = widths.get(kind, 0) * count
+            where = struct.unpack_from(f"{order}I", d, entry + 8)[0] if size > 4 else entry + 8 - at
+            if at + where + size > len(d):
+                return None
+            far = max(far, where + size if size > 4 else 0)
+            if tag in (273, 279, 324, 325) and kind in (3, 4):
+                held[tag] = struct.unpack_from(f"{order}{count}{'H' if kind == 3 else 'I'}", d, at + where)
+        for offsets, sizes in ((273, 279), (324, 325)):
+            far = max([far, *(o + s for o, s in zip(held.get(offsets, ()), held.get(sizes, ()), strict=False))])
+        ifd = struct.unpack_from(f"{order}I", d, at + ifd + 2 + 12 * n)[0]
+    return ("image/tiff", far, NONE) if walked and at + far <= len(d) else None
+
+
+VALIDATORS: dict[str, Callable[[Payload, int], Found | None]] = {"riff": _riff, "image/png": _png, "image/gif": _gif, "image/jpeg": _jpeg, "application/pdf": _pdf, "application/zip": _zip, "application/gzip": _gzip, "audio/ogg": _ogg, "audio/flac": _flac, "video/mp4": _mp4, "image/tiff": _tiff}
 
 
 class Sniffer:
@@ -213,14 +322,18 @@ class Sniffer:
         return sorted((end + 1 - back, kind) for end, (back, kind) in self.automaton.iter(data.decode("latin-1")) if end + 1 >= back)
 
     def media(self, data: bytes) -> list[tuple[int, int, str]]:
-        """(offset, length, type) of validated media, in order; what lies inside a medium that is already found at the start is listed too, once for each place."""
-        out, upto = [], {}
+        """(offset, length, type) of validated media, in order of place, those inside others included.
+
+        Only what a medium's own format has placed in it, such as its pages or entries, is no medium
+        of its own.
+        """
+        out, own, data = [], set(), Payload(data)
         for at, kind in self.places(data):
-            if at < upto.get(kind, -1):  # a page or part of what this format has already given
+            if (at, kind) in own:
                 continue
             if found := VALIDATORS[kind](data, at):
                 out.append((at, found[1], found[0]))
-                upto[kind] = at + found[1]
+                own.update((p, kind) for p in found[2])
         return out
 
     def sniff(self, data: bytes, declared: str | None) -> tuple[str, bool, list[tuple[int, int, str]]]:
@@ -239,7 +352,7 @@ def wav(samples: bytes, rate: int = 8_000) -> bytes:
 
 def wav_samples(data: bytes) -> bytes:
     """The samples of an 8-bit mono file, by its chunks."""
-    if not _riff(data, 0):
+    if not _riff(Payload(data), 0):
         raise ValueError("not a WAVE file")
     pos, out = 12, None
     while pos + 8 <= len(data) and out is None:

@@ -13,8 +13,12 @@ of failed or repeated attempts are never read.
 Of records with equal payloads of at least `min_bytes`, the one with the smallest id is a
 response and the others are revisits of it. A null payload counts as empty. A null id is larger
 than any other; rows that share the smallest id are all responses; where no id is known, all are
-responses. Extra columns are ignored. An empty table gives a folder without archives and an
-empty result.
+responses. Extra columns are ignored. A very long payload is held whole, one at a time, and read
+in time in proportion to its length. Addresses come back as they were, line breaks and outer blanks
+included. An empty table gives a folder without archives and an empty result.
+
+Foreign archives are read as well: a `.warc.gz` of one member for all records, one for each, or
+anything between, and plain files of any version.
 """
 
 from __future__ import annotations
@@ -28,6 +32,7 @@ import uuid
 import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -35,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, In, InputPartition, IsNotNull, StringStartsWith, WriterCommitMessage
 
-from marlstone.llm._shared import maybe_broadcast, scratch_path
+from marlstone.llm._shared import left_join_counted, scratch_path
 
 # The format's version line, the profile of revisits, and Spark's columns for a record.
 VERSION = b"WARC/1.1"
@@ -57,8 +62,10 @@ def record_urn(page_id: int | None, url: str | None) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id} {url}')}>"
 
 
-def one_line(value: str) -> str:
-    return value.replace("\r", "%0D").replace("\n", "%0A")
+def address_lines(url: str) -> list[tuple[str, str]]:
+    """Header of an address; one that a header line would change stands a second time, as JSON."""
+    line = url.replace("\r", "%0D").replace("\n", "%0A").strip()
+    return [("WARC-Target-URI", line)] + ([("X-Target-URI-JSON", json.dumps(url))] if line != url else [])
 
 
 def compose(page_id: int | None, url: str | None, payload: bytes | None, size: int, payload_digest: str, refers_to: int | None, date: str) -> bytes:
@@ -67,7 +74,7 @@ def compose(page_id: int | None, url: str | None, payload: bytes | None, size: i
     body = http + (payload or b"")
     head = [("WARC-Type", "response" if payload is not None else "revisit"), ("WARC-Record-ID", record_urn(page_id, url)), ("WARC-Date", date)]
     if url is not None:
-        head.append(("WARC-Target-URI", one_line(url)))
+        head += address_lines(url)
     head.append(("WARC-Payload-Digest", f"sha1:{payload_digest}"))
     if page_id is not None:
         head.append(("X-Page-ID", str(page_id)))
@@ -103,76 +110,93 @@ def _headers(block: bytes) -> dict[str, str]:
 
 
 class _Bytes:
-    """Forward reading with a window: bytes are fetched when they are asked for."""
+    """Reading of a file with a window of one chunk, which moves to where bytes are asked for."""
 
     def __init__(self, source: pa.NativeFile, at: int, chunk: int = 1 << 20):
-        self.source, self.at, self.chunk, self.held, self.size = source, at, chunk, b"", source.size()
+        self.source, self.at, self.chunk, self.size = source, at, chunk, source.size()
+        self.held, self.start = b"", at
 
-    def peek(self, n: int) -> bytes:
-        if len(self.held) < n and self.at + len(self.held) < self.size:
-            start = self.at + len(self.held)
-            self.held += self.source.read_at(min(max(n - len(self.held), self.chunk), self.size - start), start)
-        return self.held[:n]
+    def window(self, ahead: int, n: int) -> bytes:
+        """n bytes from `ahead` bytes beyond this place, or what is left of them."""
+        a = self.at + ahead
+        n = max(0, min(n, self.size - a))
+        if not self.start <= a or a + n > self.start + len(self.held):
+            self.start, self.held = a, self.source.read_at(min(max(n, self.chunk), self.size - a), a) if n else b""
+        return self.held[a - self.start : a - self.start + n]
 
     def skip(self, n: int) -> None:
         self.at += n
-        self.held = self.held[n:] if n < len(self.held) else b""
 
     @property
     def ended(self) -> bool:
         return self.at >= self.size
 
 
-def _plain_records(src: _Bytes, upto: int) -> Iterator[tuple[dict[str, str], object]]:
-    """(headers, function that reads the block) of records that begin before upto."""
+class _Inflated:
+    """The text of the gzip member where a file stands, read forward as it is inflated."""
+
+    def __init__(self, src: _Bytes):
+        self.src, self.at, self.used, self.held, self.inflate = src, 0, 0, bytearray(), zlib.decompressobj(wbits=31)
+
+    def _fill(self, n: int, step: int = 1 << 15) -> None:
+        while len(self.held) < n and not self.inflate.eof:
+            more = self.src.window(self.used, step if self.used else 1024)
+            if not more:
+                return
+            self.held += self.inflate.decompress(more)
+            self.used += len(more) - len(self.inflate.unused_data)
+
+    def window(self, ahead: int, n: int) -> bytes:
+        self._fill(ahead + n)
+        return bytes(memoryview(self.held)[ahead : ahead + n])
+
+    def skip(self, n: int) -> None:
+        self.at += n
+        while n > 0:
+            self._fill(1)
+            if not self.held:
+                return
+            k = min(n, len(self.held))
+            del self.held[:k]
+            n -= k
+
+    @property
+    def ended(self) -> bool:
+        self._fill(1)
+        return not self.held
+
+
+def _plain_records(src: _Bytes | _Inflated, upto: float) -> Iterator[tuple[dict[str, str], object]]:
+    """(headers, function that reads the block) of records that begin before upto; the function is good until the next record is asked for."""
     while not src.ended and src.at < upto:
-        n = 1 << 12
-        while (cut := src.peek(n).find(b"\r\n\r\n")) < 0:
-            if len(src.peek(n)) < n:
+        n = 1 << 9
+        while (cut := (text := src.window(0, n)).find(b"\r\n\r\n")) < 0:
+            if len(text) < n:
                 return
             n *= 2
-        head = _headers(src.peek(cut))
+        head = _headers(text[:cut])
         size = int(head.get("content-length", "0"))
         start = cut + 4
-        yield head, lambda start=start, size=size: src.peek(start + size)[start:]
+        yield head, lambda start=start, size=size: src.window(start, size)
         src.skip(start + size + 4)
 
 
 def _packed_records(src: _Bytes) -> Iterator[tuple[dict[str, str], object]]:
+    """Records of gzip members: of one that tells its length the first, which is its only one; of any other, all."""
     while not src.ended:
-        head = src.peek(24)
+        head = src.window(0, 24)
         known = struct.unpack("<Q", head[16:24])[0] if len(head) == 24 and head[3] == 4 and head[12:14] == LENGTH_FIELD else None
-        inflate, n, raw, text = zlib.decompressobj(wbits=31), 0, b"", b""
-        # Inflate only until the header ends.
-        while b"\r\n\r\n" not in text and not inflate.eof:
-            more = src.peek(n + 1024)[n:]
-            if not more:
+        member = _Inflated(src)
+        if known:
+            yield from islice(_plain_records(member, 1), 1)
+            src.skip(known)
+        else:
+            yield from _plain_records(member, float("inf"))
+            while not member.ended:  # what follows a record that is cut short
+                member.skip(1 << 20)
+            if not member.used:
                 return
-            n += len(more)
-            text += inflate.decompress(more)
-        cut = text.find(b"\r\n\r\n")
-        fields = _headers(text[:cut])
-        size = int(fields.get("content-length", "0"))
-
-        def rest(n: int) -> tuple[bytes, int]:
-            out, at = [text], n
-            while not inflate.eof:
-                more = src.peek(at + (1 << 16))[at:]
-                if not more:
-                    break
-                at += len(more)
-                out.append(inflate.decompress(more))
-            return b"".join(out), at - len(inflate.unused_data)
-
-        done: list[int] = []
-
-        def block(n: int = n, cut: int = cut, size: int = size) -> bytes:
-            whole, used = rest(n)
-            done.append(used)
-            return whole[cut + 4 : cut + 4 + size]
-
-        yield fields, block
-        src.skip(known or (done[0] if done else rest(n)[1]))
+            src.skip(member.used)
 
 
 def _row(head: dict[str, str], block, payload: bool, verify: bool) -> tuple:
@@ -187,9 +211,9 @@ def _row(head: dict[str, str], block, payload: bool, verify: bool) -> tuple:
             size, data = int(_headers(body[:cut]).get("content-length", "0")), None
         elif verify and known and digest(data) != known:
             raise ValueError(f"{head.get('warc-record-id')}: the payload does not match its digest")
-    page, refers = head.get("x-page-id"), head.get("x-refers-to-page-id")
+    page, refers, address = head.get("x-page-id"), head.get("x-refers-to-page-id"), head.get("x-target-uri-json")
     length = int(head.get("content-length", "0"))
-    return head.get("warc-record-id"), kind, head.get("warc-target-uri"), head.get("warc-date"), int(page) if page else None, int(refers) if refers else None, known, size, length, data if payload else None
+    return head.get("warc-record-id"), kind, json.loads(address) if address else head.get("warc-target-uri"), head.get("warc-date"), int(page) if page else None, int(refers) if refers else None, known, size, length, data if payload else None
 
 
 class WarcReader(DataSourceReader):
@@ -232,7 +256,7 @@ class WarcReader(DataSourceReader):
 
     def wanted(self, head: dict[str, str]) -> bool:
         for kind, name, value in self.tests:
-            own = head.get(name)
+            own = json.loads(head["x-target-uri-json"]) if name == "warc-target-uri" and "x-target-uri-json" in head else head.get(name)
             if own is None or kind == "in" and own not in value or kind == "starts" and not own.startswith(value):
                 return False
         return True
@@ -247,7 +271,7 @@ class WarcReader(DataSourceReader):
                 records = _packed_records(src)
             else:
                 while partition.start and not src.ended:  # a record begins behind the blank lines of the one before, which may lie before this start
-                    window = src.peek(1 << 20)
+                    window = src.window(0, 1 << 20)
                     if m := BEGINNING.search(window):
                         src.skip(m.start() + 4)
                         break
@@ -341,9 +365,8 @@ def archive_pages(pages: DataFrame, folder: str, min_bytes: int = 0, id_col: str
     html = F.coalesce(F.col(html_col), F.lit(""))
     rows = pages.select(F.col(id_col).cast("bigint").alias("page_id"), F.col(url_col).alias("url"), F.encode(html, "UTF-8").alias("body"))
     rows = rows.withColumn("sha", F.sha1("body")).withColumn("payload_bytes", F.octet_length("body").cast("bigint"))
-    repeated = rows.where(F.col("payload_bytes") >= min_bytes).groupBy("sha").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").select(F.col("sha").alias("of"), "first")
-    repeated = maybe_broadcast(repeated, F.lit(64))
-    found = rows.join(repeated, (F.col("sha") == F.col("of")) & (F.col("payload_bytes") >= min_bytes), "left")
+    repeated = rows.where(F.col("payload_bytes") >= min_bytes).groupBy("sha").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").select(F.col("sha").alias("of"), "first", "n")
+    found = left_join_counted(rows.withColumn("of", F.when(F.col("payload_bytes") >= min_bytes, F.col("sha"))), repeated, "of", "n", F.lit(64))
     again = F.col("first").isNotNull() & (F.col("page_id").isNull() | (F.col("page_id") != F.col("first")))
     out = found.select("page_id", "url", F.when(~again, F.col("body")).alias("payload"), "payload_bytes", _base32(F.col("sha")).alias("payload_digest"), F.when(again, F.col("first")).alias("refers_to"))
     out.write.format("warc").mode("append").save(folder)
@@ -365,4 +388,9 @@ def round_trip(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to) of every page, read back from archives."""
     folder = scratch_path(pages.sparkSession, "warc")
     archive_pages(pages, folder, min_bytes)
-    return read_archives(pages.sparkSession, folder, payload=False, verify=True).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    # Each kind of record is asked for by a predicate that the reader takes over: revisits are found
+    # without inflating a response's payload, and responses are inflated to be held against their digest.
+    spark = pages.sparkSession
+    responses = read_archives(spark, folder, payload=False, verify=True).where("record_type = 'response'").select(*columns)
+    return responses.unionByName(read_archives(spark, folder, payload=False).where("record_type = 'revisit'").select(*columns))

@@ -49,3 +49,44 @@ def test_documents(spark, docs_of):
         assert tuple(r) == (doc_id, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         at += len(ids)
     assert dac.store_and_digest(docs_of([]), PATH).count() == 0
+
+
+def test_tokens_by_address(tmp_path):
+    """token(i) equals a whole reading, at every place of a file of several blocks and at all widths, and reads few bytes."""
+    import numpy as np
+    import pyarrow.fs as pafs
+
+    rng = np.random.default_rng(1)
+    ids = np.concatenate([rng.integers(0, 1 << int(b), 3000) for b in (3, 8, 9, 16, 17, 24, 31)]).astype(np.uint32)
+    rng.shuffle(ids)
+    before, dac.BLOCK_TOKENS = dac.BLOCK_TOKENS, 4096
+    try:
+        w = dac.Writer(pafs.LocalFileSystem().open_output_stream(str(tmp_path / "t.dac")))
+        for i in range(0, len(ids), 500):
+            w.add(i, ids[i : i + 500])
+        w.close()
+    finally:
+        dac.BLOCK_TOKENS = before
+    read = []
+
+    class Counted:
+        def __init__(self, source):
+            self.size = source.size
+            self.read_at = lambda n, at: (read.append(n), source.read_at(n, at))[1]
+
+    with pafs.LocalFileSystem().open_input_file(str(tmp_path / "t.dac")) as source:
+        r = dac.Reader(Counted(source))
+        assert [r.token(i) for i in range(len(ids))] == ids.tolist()
+        del read[:]
+        r.token(12345)
+        assert sum(read) <= 4 * (1 + 64 + 4)
+
+
+def test_rows_of_one_id_and_a_long_text(spark, docs_of):
+    import public_tokenizers
+
+    rows = [(1, f"text {k}") for k in range(30)] + [(1, "text 3"), (None, "x"), (2, "word " * 200_000)]
+    out = dac.store_and_digest(docs_of(rows), public_tokenizers.path("byte_bpe_50k.json")).collect()
+    assert len(out) == len(rows) and max(r["n_tokens"] for r in out) > 200_000
+    spans = sorted((r["start"], r["n_tokens"], r["doc_id"]) for r in out)
+    assert all(a[0] + a[1] == b[0] for a, b in zip(spans, spans[1:], strict=False)) and [s[2] for s in spans] == [None, *[1] * 31, 2]

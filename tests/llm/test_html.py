@@ -129,3 +129,73 @@ def test_one_section_more_in_front_moves_no_partner():
 )
 def test_all_content_elements_of_a_kind_are_read(page, text):
     assert H.extract(page) == text
+
+
+def test_long_lists_of_siblings_are_matched_as_short_ones(monkeypatch):
+    import time
+
+    rng = random.Random(3)
+    for _ in range(40):
+        a, b = (H.parse("".join(rng.choice(["<p>x</p>", "<ul><li>1</li><li>2</li></ul>", "<ul><li>3</li></ul>", "<p><b>y</b></p>", "<h2>z</h2>"]) for _ in range(rng.randint(20, 60)))) for _ in range(2))
+        H.number(a)
+        assert H.match(a, b) == largest(a, b)
+    left, right = ([f"<p class='c{i % 7}'>text {i * k}</p>" for i in range(2000)] for k in (1, 2))
+    a, b = H.parse("".join(left)), H.parse("".join(["<p>first</p>", *right[:-1], "<div>d</div>"]))
+    H.number(a)
+    began = time.time()
+    assert H.match(a, b) == 2001
+    assert time.time() - began < 3
+    H._weights.clear()
+    grid = H._Grid(a.kids, b.kids, H.weight, 4 * 2000)
+    assert len(grid.pairs(most=10_000)) == len(grid.pairs()) == 2000
+
+
+SITE = '<html><body><div class="x1"><a href="/">Home</a> <a href="/b">Blog</a></div><div class="x2"><p>All about gardens since 1990</p></div><div class="x3"><h2>{t}</h2>{p}</div><div class="x4"><p>Seen today: {n}</p><p>Made with care</p></div></body></html>'
+
+
+def test_slots_pick_the_content_of_a_site_without_telling_names(spark):
+    rng = random.Random(8)
+    text = lambda: " ".join(rng.choice(["rose", "soil", "water", "spade", "light"]) for _ in range(30))
+    pages, want = [], []
+    for i in range(12):
+        body = [text() for _ in range(rng.randint(1, 4))]
+        pages.append(SITE.format(t=f"Garden {i}", p="".join(f"<p>{x}</p>" for x in body), n=i))
+        want.append("\n".join([f"Garden {i}", *body]))
+    found = texts_of(spark, pages)
+    assert [found[i] for i in range(12)] == want
+
+
+def test_slots_outweigh_a_misleading_element(spark):
+    page = '<html><body><div><article>Teaser {i}</article></div><div class="x"><p>{a}</p><p>{b}</p></div></body></html>'
+    long = lambda i, k: " ".join(f"w{i}x{k}y{j}" for j in range(20))
+    found = texts_of(spark, [page.format(i=i, a=long(i, 1), b=long(i, 2)) for i in range(8)])
+    assert found[4] == long(4, 1) + "\n" + long(4, 2)
+
+
+@pytest.mark.parametrize("part", ['<div class="social-history"><p>kept</p></div>', '<p class="ad-hoc">kept</p>', '<section class="related-work">kept</section>', '<p class="share">kept</p>', '<div class="promotional-essay">kept</div>'])
+def test_names_that_only_hold_a_role_are_no_role(part):
+    assert H.extract(f"<article><p>a</p>{part}</article>") == "a\nkept"
+
+
+@pytest.mark.parametrize("part", ['<div class="comments">x</div>', '<div class="ad-slot">x</div>', '<aside>x</aside>', '<div role="navigation">x</div>', '<div id="Cookie_Notice">x</div>'])
+def test_roles_inside_an_article_go(part):
+    assert H.extract(f"<article><p>a</p>{part}<p>b</p></article>") == "a\nb"
+
+
+def test_marked_articles_of_the_tables(spark):
+    """The article element's own text, read by a plain parser of tags, is what comes out."""
+    import html as entities
+    import re
+
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    found = {r["page_id"]: r["text"] for r in H.main_text(pages).collect()}
+    for r in pages.where("html is not null").collect():
+        m = re.search(r"<article>(.*?)(?:</article>|<footer|$)", r["html"], re.S)
+        if m:
+            parts = [" ".join(entities.unescape(re.sub(r"<[^>]*>", "", x)).split()) for x in re.split(r"</?(?:p|h1|h2|h3|div|ul|li|table|tr|td|pre|blockquote)\b[^>]*>", re.sub(r"<br\s*/?>", " ", re.sub(r"<!--.*?-->", "", m[1], flags=re.S)))]
+            assert found[r["page_id"]] == "\n".join(p for p in parts if p), r["page_id"]
+
+
+def test_a_long_page(spark):
+    page = closed(*(f"<p>{i} long text</p>" for i in range(100_000)))
+    assert texts_of(spark, [page])[0].count("\n") == 99_999

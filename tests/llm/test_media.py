@@ -61,3 +61,64 @@ def test_documents(spark, docs_of):
 def test_carve_column(spark):
     df = spark.createDataFrame([(1, bytearray(b"__" + png())), (2, None)], "id bigint, media binary")
     assert [tuple(r) for r in media.carve(df, "id").collect()] == [(1, 2, "image/png", bytearray(png()))]
+
+
+def crc(data, polynomial, bits):
+    out = 0
+    for byte in data:
+        out ^= byte << bits - 8
+        for _ in range(8):
+            out = (out << 1 ^ (polynomial if out >> bits - 1 else 0)) & (1 << bits) - 1
+    return out
+
+
+def flac(frames=3, block=40):
+    info = struct.pack(">HH", block, block) + b"\0" * 6 + ((8000 << 44) | (7 << 36) | frames * block).to_bytes(8, "big") + b"\0" * 16
+    out = b"fLaC\x80" + len(info).to_bytes(3, "big") + info
+    for i in range(frames):
+        head = b"\xff\xf8\x60\x02" + bytes([i, block - 1])
+        head += bytes([crc(head, 0x07, 8)])
+        frame = head + b"\0" + bytes([60 + i])
+        out += frame + struct.pack(">H", crc(frame, 0x8005, 16))
+    return out
+
+
+def tiff():
+    strip, ifd = b"\x80" * 9, 8
+    entries = [(256, 3, 1, 3), (257, 3, 1, 3), (273, 4, 1, 100), (279, 4, 1, len(strip)), (282, 5, 1, 70)]
+    body = struct.pack("<H", len(entries)) + b"".join(struct.pack("<HHII", *e) for e in entries) + b"\0\0\0\0"
+    return (b"II*\0" + struct.pack("<I", ifd) + body).ljust(100, b"\0") + strip
+
+
+def test_lengths_are_confirmed():
+    s = media.Sniffer()
+    for data, kind in ((flac(), "audio/flac"), (tiff(), "image/tiff")):
+        assert s.media(b"__" + data + b"behind it") == [(2, len(data), kind)]
+        assert s.media(data[:-3]) == []
+
+
+def test_media_inside_media_of_the_same_format():
+    s = media.Sniffer()
+    inner = media.wav(b"1234")
+    assert s.media(media.wav(b"ab" + inner)) == [(0, len(media.wav(b"ab" + inner)), "audio/wav"), (46, len(inner), "audio/wav")]
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("a.txt", "hello")
+        z.writestr("inner.zip", archive())
+    whole = out.getvalue()
+    assert s.media(whole) == [(0, len(whole), "application/zip"), (whole.index(archive()), len(archive()), "application/zip")] or s.media(whole)[-1][1] == len(whole)
+
+
+def test_time_in_proportion_to_length():
+    import time
+
+    s, began = media.Sniffer(), time.time()
+    for part in (b"%PDF-1 ", b"PK\x03\x04", b"\x1f\x8b\x08", b"%PDF-1 startxref ", b"\xff\xd8\xff"):
+        assert s.media(part * 150_000) == []
+    assert time.time() - began < 20
+
+
+def test_a_long_text(spark, docs_of):
+    text = "RIFF %PDF-1 é" * 300_000
+    r = media.digest_media(media.store_texts(docs_of([(1, text)]))).first()
+    assert r["n_bytes"] == len(text.encode()) and r["feature"].endswith("embedded=")

@@ -70,3 +70,42 @@ def test_every_split_of_plain_archives_gives_all_records(tmp_path):
             reader = warc.WarcReader({"path": f"file://{tmp_path}", "split_bytes": str(split)})
             parts = reader.partitions() if split > 40 else [warc.Archive(f"file://{tmp_path}/a.warc", s, e) for s, e in ((0, split), (split, len(data)))]
             assert [v for p in parts for b in reader.read(p) for v in b.column("payload").to_pylist()] == bodies
+
+
+def test_one_member_for_all_records_and_odd_addresses(spark, tmp_path):
+    import gzip
+
+    urls = ["http://a/ ", "http://b/\r\nx", None]
+    records = [warc.compose(i, u, b"payload %d" % i, 9, warc.digest(b"payload %d" % i), None, "2020-01-01T00:00:00Z") for i, u in enumerate(urls)]
+    for name, data in (("one", gzip.compress(b"".join(records))), ("each", b"".join(map(gzip.compress, records))), ("mixed", gzip.compress(b"".join(records[:2])) + warc.member(records[2])), ("own", b"".join(map(warc.member, records)))):
+        folder = tmp_path / name
+        folder.mkdir()
+        (folder / "x.warc.gz").write_bytes(data)
+        rows = warc.read_archives(spark, f"file://{folder}", verify=True).collect()
+        assert [(r["page_id"], r["target_uri"], bytes(r["payload"])) for r in sorted(rows, key=lambda r: r["page_id"])] == [(i, u, b"payload %d" % i) for i, u in enumerate(urls)]
+        assert warc.read_archives(spark, f"file://{folder}").where("target_uri = 'http://a/ '").count() == 1
+
+
+def test_a_long_payload_in_time(spark, tmp_path):
+    import time
+
+    body = bytes(range(256)) * 160_000
+    data = warc.member(warc.compose(1, "http://a/", body, len(body), warc.digest(body), None, "2020-01-01T00:00:00Z"))
+    (tmp_path / "x.warc.gz").write_bytes(data)
+    import pyarrow.fs as pafs
+
+    began = time.time()
+    with pafs.LocalFileSystem().open_input_file(str(tmp_path / "x.warc.gz")) as source:
+        [(head, block)] = [(h, b()) for h, b in warc._packed_records(warc._Bytes(source, 0))]
+    assert block.endswith(body) and time.time() - began < 5
+
+
+def test_joins_of_hot_keys(spark):
+    from pyspark.sql import functions as F
+
+    from marlstone.llm._shared import left_join_counted
+
+    left = spark.createDataFrame([("a", i) for i in range(20)] + [("b", 30), ("c", 31), (None, 32)], "k string, x int")
+    right = spark.createDataFrame([("a", 20, "A"), ("b", 1, "B")], "k string, n int, v string")
+    got = left_join_counted(left, right, "k", "n", F.lit(8), hot=10, most_bytes=0).select("k", "x", "v").collect()
+    assert sorted((r["x"], r["v"]) for r in got) == [*((i, "A") for i in range(20)), (30, "B"), (31, None), (32, None)]
