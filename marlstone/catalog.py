@@ -68,30 +68,30 @@ def path_filter_props(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT o_orderkey, count(l_linenumber) FILTER (l_quantity > 40) AS n FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey")
 def path_filter_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return order_documents(spark, sf_dir).select("o_orderkey", big(F.size(J.json_path(F.col("doc"), "$.items[?@.qty > 40]"))).alias("n"))
+    return order_documents(spark, sf_dir).select("o_orderkey", big(J.json_count(F.col("doc"), "$.items[?@.qty > 40]")).alias("n"))
 
 
 @query("SELECT o_orderkey, count(l_linenumber) AS n FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey")
 def path_wildcard_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return order_documents(spark, sf_dir).select("o_orderkey", big(F.size(J.json_path(F.col("doc"), "$.items[*].n"))).alias("n"))
+    return order_documents(spark, sf_dir).select("o_orderkey", big(J.json_count(F.col("doc"), "$.items[*].n")).alias("n"))
 
 
 @query("SELECT o_orderkey, count(l_linenumber) FILTER (l_returnflag = 'R' AND (l_quantity < 10 OR l_quantity >= 45)) AS n FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey")
 def path_filter_logic(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = "$.items[?@.flag == 'R' && (@.qty < 10 || @.qty >= 45)]"
-    return order_documents(spark, sf_dir).select("o_orderkey", big(F.size(J.json_path(F.col("doc"), p))).alias("n"))
+    return order_documents(spark, sf_dir).select("o_orderkey", big(J.json_count(F.col("doc"), p)).alias("n"))
 
 
 @query("SELECT o_orderkey, count(l_linenumber) FILTER (NOT (l_returnflag = 'R')) AS n FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey")
 def path_filter_not(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return order_documents(spark, sf_dir).select("o_orderkey", big(F.size(J.json_path(F.col("doc"), "$.items[?!(@.flag == 'R')]"))).alias("n"))
+    return order_documents(spark, sf_dir).select("o_orderkey", big(J.json_count(F.col("doc"), "$.items[?!(@.flag == 'R')]")).alias("n"))
 
 
 @query("SELECT o_orderkey, count(l_linenumber) FILTER (l_quantity * 1000 < o_totalprice) AS n FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey")
 def path_root_in_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = order_documents(spark, sf_dir)
     scaled = F.to_json(F.struct(F.expr("transform(from_json(doc, 'items array<struct<qty:double>>').items, x -> named_struct('q', x.qty * 1000))").alias("items"), F.expr("get_json_object(doc, '$.total')").cast("double").alias("total")))
-    return docs.select("o_orderkey", big(F.size(J.json_path(scaled, "$.items[?@.q < $.total]"))).alias("n"))
+    return docs.select("o_orderkey", big(J.json_count(scaled, "$.items[?@.q < $.total]")).alias("n"))
 
 
 @query("SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS first, CAST(embedding[len(embedding)] AS DOUBLE) AS last, CAST(len(embedding[2:9]) AS BIGINT) AS some FROM embeddings")
@@ -414,3 +414,7 @@ def big_arithmetic(spark: SparkSession, sf_dir: str) -> DataFrame:
 def decimal_remainder(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = F.col("l_extendedprice").cast("decimal(12,2)")
     return table(spark, sf_dir, "lineitem").select("l_orderkey", big(F.col("l_linenumber")).alias("line"), numeric.truncating_remainder(v, F.lit(7).cast("decimal(3,0)")).cast("double").alias("rest"), numeric.is_integer(F.col("l_quantity")).alias("whole"))
+
+
+# The catalogue's other modules register theirs here as well.
+from marlstone import catalog_documents, catalog_functions  # noqa: E402, F401

@@ -79,7 +79,7 @@ def uuid_v7(ts: Column, tail: Column | None = None) -> Column:
 
 
 def is_uuid(text: Column) -> Column:
-    return F.coalesce(text.rlike(r"^[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}$"), F.lit(False))
+    return F.coalesce(text.rlike(r"^[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}\z"), F.lit(False))
 
 
 def version(text: Column) -> Column:

@@ -23,7 +23,6 @@ def _ipv6_pattern() -> str:
     tail = rf"(?:{h}:{h}|{_IPV4})"
     forms = [rf"(?:{h}:){{6}}{tail}"]
     for before in range(0, 8):
-        lead = "" if before == 0 else rf"(?:{h}:){{0,{before - 1}}}{h}"
         after = 7 - before
         for k in range(0, after + 1):
             if before + k > 7:
@@ -34,8 +33,7 @@ def _ipv6_pattern() -> str:
             # a dotted end alone stands for two groups
             if k == 2:
                 forms.append(f"{exact}::{_IPV4}")
-        del lead
-    return "^(?:" + "|".join(forms) + ")$"
+    return "^(?:" + "|".join(forms) + r")\z"
 
 
 _IPV6 = _ipv6_pattern()
@@ -43,7 +41,7 @@ _IPV6 = _ipv6_pattern()
 
 def is_ipv4(text: Column) -> Column:
     """Four decimal octets without leading zeros."""
-    return F.coalesce(text.rlike(f"^{_IPV4}$"), F.lit(False))
+    return F.coalesce(text.rlike(rf"^{_IPV4}\z"), F.lit(False))
 
 
 def ipv4_number(text: Column) -> Column:
@@ -70,21 +68,21 @@ def ipv6_canonical(text: pd.Series) -> pd.Series:
 
 def is_hostname(text: Column) -> Column:
     """LDH labels of 1 to 63, at most 255 without dots, a trailing dot or the root allowed; xn-- labels must have a body."""
-    name = F.regexp_replace(text, r"\.$", "")
+    name = F.regexp_replace(text, r"\.\z", "")
     labels = F.split(name, r"\.")
-    fine = F.forall(labels, lambda s: s.rlike(f"^{_LABEL}$") & (~F.substring(s, 3, 2).eqNullSafe("--") | s.rlike(r"^(?i)xn--[a-z0-9\-]*[a-z0-9]$")))
+    fine = F.forall(labels, lambda s: s.rlike(rf"^{_LABEL}\z") & (~F.substring(s, 3, 2).eqNullSafe("--") | s.rlike(r"^(?i)xn--[a-z0-9\-]*[a-z0-9]\z")))
     return F.coalesce((text == ".") | fine & (F.length(F.replace(name, F.lit("."), F.lit(""))) <= 255), F.lit(False))
 
 
 def is_punycode(label: Column) -> Column:
-    return F.coalesce(label.rlike(r"^(?i)xn--[a-z0-9\-]*[a-z0-9]$"), F.lit(False))
+    return F.coalesce(label.rlike(r"^(?i)xn--[a-z0-9\-]*[a-z0-9]\z"), F.lit(False))
 
 
 def email_parts(text: Column) -> Column:
     """struct<local, domain> of a mailbox by RFC 5321; null if the text is none."""
-    local, domain = F.regexp_extract(text, rf"^({_LOCAL})@(.+)$", 1), F.regexp_extract(text, rf"^({_LOCAL})@(.+)$", 2)
-    inner = F.regexp_extract(domain, r"^\[(.*)\]$", 1)
-    literal = is_ipv4(inner) | inner.rlike("^(?i)IPv6:") & is_ipv6(F.substring(inner, F.lit(6), F.length(inner))) | inner.rlike(r"^(?!(?i)IPv6:)[A-Za-z0-9\-]*[A-Za-z0-9]:[\x21-\x5A\x5E-\x7E]+$")
+    local, domain = F.regexp_extract(text, rf"^({_LOCAL})@(?s:(.+))\z", 1), F.regexp_extract(text, rf"^({_LOCAL})@(?s:(.+))\z", 2)
+    inner = F.regexp_extract(domain, r"^\[(.*)\]\z", 1)
+    literal = is_ipv4(inner) | inner.rlike("^(?i)IPv6:") & is_ipv6(F.substring(inner, F.lit(6), F.length(inner))) | inner.rlike(r"^(?!(?i)IPv6:)[A-Za-z0-9\-]*[A-Za-z0-9]:[\x21-\x5A\x5E-\x7E]+\z")
     fine = (local != "") & (F.octet_length(local) <= 64) & F.when(inner != "", literal).otherwise(is_hostname(domain) & ~domain.endswith("."))
     return F.when(F.coalesce(fine, F.lit(False)), F.struct(local.alias("local"), domain.alias("domain")))
 

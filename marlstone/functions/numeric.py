@@ -213,9 +213,51 @@ UNARY: dict[str, Callable[[Decimal], Decimal]] = {
     "not": lambda a: Decimal(~int(a)),
     "bit_width": lambda a: Decimal(int(a).bit_length()),
     "normalized": lambda a: a,
+    "ulp": lambda a: _ulp(a),
+    "next_up": lambda a: a + _ulp(a) if a.is_finite() else a,
+    "next_down": lambda a: a - _ulp(a) if a.is_finite() else a,
+    "exponent": lambda a: Decimal(a.as_tuple().exponent if a.is_finite() else 0),
 }
 
 
+def _ulp(a: Decimal) -> Decimal:
+    """One unit of the last digit that is written."""
+    return Decimal(1).scaleb(a.as_tuple().exponent) if a.is_finite() else Decimal("nan")
+
+
+def pi(digits: int = 50) -> Decimal:
+    """The ratio of a circle's circumference to its diameter, by Machin's formula."""
+    one = 10 ** (digits + 10)
+
+    def arc(n: int) -> int:
+        term = total = one // n
+        k, sign = 3, -1
+        while term:
+            term //= n * n
+            total += sign * (term // k)
+            k, sign = k + 2, -sign
+        return total
+
+    return _digits_of(4 * (4 * arc(5) - arc(239)), digits)
+
+
+def e(digits: int = 50) -> Decimal:
+    """The base of natural logarithms, by its series."""
+    term = total = 10 ** (digits + 10)
+    k = 1
+    while term:
+        term //= k
+        total += term
+        k += 1
+    return _digits_of(total, digits)
+
+
+def _digits_of(scaled: int, digits: int) -> Decimal:
+    """The leading digits of a number that was scaled by ten places more than that."""
+    with localcontext(WIDE):
+        return Decimal(scaled // 10**11).scaleb(1 - digits)
+
+
 def _guard(f: Callable[..., Decimal], *texts: str | None) -> str | None:
     """A function of parsed numbers; null if a text is no number or the function has no value."""
     numbers = [None if t is None else parse_big(t) for t in texts]
@@ -254,6 +296,49 @@ def big_rounded(value: Column, places: int, rule: str = "nearest_or_even") -> Co
     return run(value.cast("string"))
 
 
+def formatted(value: Column, *, grouping: bool = True, sign: str = "automatic", fraction: tuple[int, int] | None = None, significant: tuple[int, int] | None = None, point: str = "automatic", separators: tuple[str, str] = (",", ".")) -> Column:
+    """Text of a number for display.
+
+    sign: automatic (minus only), always, or never. fraction: the least and the most places;
+    significant: the least and the most digits; both round halves away from zero, and without
+    either the digits are those written. point: automatic, always (also at the end), or never (the
+    fraction goes). separators: of groups of three digits, and of the fraction.
+    """
+    if sign not in ("automatic", "always", "never") or point not in ("automatic", "always", "never"):
+        raise ValueError("unknown style")
+
+    def one(text: str | None) -> str | None:
+        d = None if text is None else parse_big(text)
+        if d is None:
+            return None
+        if d.is_nan():
+            return "NaN"
+        lead = "-" if d < 0 and sign != "never" else "+" if d > 0 and sign == "always" else ""
+        if d.is_infinite():
+            return lead + "\u221e"
+        d = abs(d)
+        with localcontext(WIDE):
+            if significant and d:
+                places = significant[1] - 1 - d.adjusted()
+                d = d.quantize(Decimal(1).scaleb(-places), rounding=ROUND_HALF_UP) if scale(d) > places else d
+                low, high = significant[0] - 1 - d.adjusted(), None
+            else:
+                low, high = fraction or (0, None)
+                d = d.quantize(Decimal(1).scaleb(-high), rounding=ROUND_HALF_UP) if high is not None and scale(d) > high else d
+            whole, _, part = format(d, "f").partition(".")
+        part = part.ljust(max(0, low), "0")
+        if grouping:
+            whole = f"{int(whole):,}".replace(",", separators[0])
+        part = "" if point == "never" else part
+        return lead + whole + (separators[1] + part if part or point == "always" else "")
+
+    @F.pandas_udf("string")
+    def run(x: pd.Series) -> pd.Series:
+        return pd.Series([one(s) for s in x], dtype=object)
+
+    return run(value.cast("string"))
+
+
 def big_compare(a: Column, b: Column) -> Column:
     """-1, 0 or 1; null where either is no number or nan."""
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 # Nanoseconds of each unit, and the resolutions of local times that a zone skips or repeats.
 UNITS = {"nanoseconds": 1, "microseconds": 1_000, "milliseconds": 1_000_000, "seconds": 1_000_000_000, "minutes": 60_000_000_000, "hours": 3_600_000_000_000, "days": 86_400_000_000_000}
 DAY = UNITS["days"]
-SKIPPED = ("next_valid", "previous_valid", "boundary_start", "boundary_end", "reject")
+SKIPPED = ("next_valid", "previous_valid", "boundary_start", "boundary_end", "boundary_nearest", "reject")
 AMBIGUOUS = ("earliest", "latest", "reject")
 LONG = "decimal(38,0)"
 
@@ -46,7 +46,7 @@ def ordinal_date(year: Column, day: Column) -> Column:
 
 def parse_date(text: Column) -> Column:
     """Strict YYYY-MM-DD."""
-    p = f"^{_DATE}$"
+    p = rf"^{_DATE}\z"
     return make_date(_part(text, p, 1), _part(text, p, 2), _part(text, p, 3))
 
 
@@ -120,7 +120,7 @@ def _nanos(text: Column, pattern: str, first: int) -> Column:
 
 def parse_time(text: Column) -> Column:
     """Nanoseconds of the day of HH:MM:SS[.f]; 23:59:60 rolls over to midnight."""
-    return _nanos(text, f"^{_TIME}$", 1) % DAY
+    return _nanos(text, rf"^{_TIME}\z", 1) % DAY
 
 
 def format_time(nanos: Column) -> Column:
@@ -132,7 +132,7 @@ def format_time(nanos: Column) -> Column:
 
 def parse_datetime(text: Column) -> Column:
     """timestamp_ntz of YYYY-MM-DDTHH:MM:SS[.f]; a leap second goes to the next day."""
-    p = f"^{_DATE}[Tt]{_TIME}$"
+    p = rf"^{_DATE}[Tt]{_TIME}\z"
     return _local(make_date(_part(text, p, 1), _part(text, p, 2), _part(text, p, 3)), _nanos(text, p, 4))
 
 
@@ -143,7 +143,7 @@ def _local(date: Column, nanos: Column) -> Column:
 
 def parse_offset(text: Column) -> Column:
     """Seconds of Z or ±HH[:MM[:SS]], at most 18 hours."""
-    p = r"^([+\-])(\d{2})(?::?(\d{2})(?::?(\d{2}))?)?$"
+    p = r"^([+\-])(\d{2})(?::?(\d{2})(?::?(\d{2}))?)?\z"
     h, m, s = (F.coalesce(_part(text, p, i), F.lit(0)) for i in (2, 3, 4))
     total = h * 3600 + m * 60 + s
     return F.when(text.isin("Z", "z"), F.lit(0)).when(text.rlike(p) & (m < 60) & (s < 60) & (total <= 64_800), F.when(text.startswith("-"), -total).otherwise(total))
@@ -163,7 +163,7 @@ def format_offset(seconds: Column, style: str = "default") -> Column:
 
 def parse_offset_time(text: Column) -> Column:
     """struct<nanos, offset_s>; a leap second only where it is 23:59:60 in UTC, and it becomes midnight there."""
-    p = f"^(\\d{{2}}):(\\d{{2}}):(\\d{{2}})(?:\\.(\\d{{1,9}}))?{_OFFSET}$"
+    p = f"^(\\d{{2}}):(\\d{{2}}):(\\d{{2}})(?:\\.(\\d{{1,9}}))?{_OFFSET}\\z"
     h, m, s = (_part(text, p, i).cast("bigint") for i in (1, 2, 3))
     fraction = F.rpad(F.regexp_extract(text, p, 4), 9, "0").try_cast("bigint")
     offset = parse_offset(F.regexp_extract(text, p, 5))
@@ -175,7 +175,7 @@ def parse_offset_time(text: Column) -> Column:
 
 def parse_offset_datetime(text: Column) -> Column:
     """struct<local, offset_s> of an RFC 3339 date-time."""
-    p = f"^{_DATE}[Tt ](.*)$"
+    p = rf"^{_DATE}[Tt ]((?s:.*))\z"
     date = make_date(_part(text, p, 1), _part(text, p, 2), _part(text, p, 3))
     time = parse_offset_time(F.regexp_extract(text, p, 4))
     leap = F.regexp_extract(text, p, 4).rlike(r"^\d{2}:\d{2}:60")
@@ -226,8 +226,9 @@ def resolve(local: Column, zone: Column | str, skipped: str = "next_valid", ambi
     """UTC timestamp_ntz of a local time in a zone.
 
     A skipped time moves on by the gap (next_valid), back by it (previous_valid), to the last
-    instant before the gap or the first after it (boundary_start, boundary_end), or is null
-    (reject). A repeated time is the earlier or the later instant, or null.
+    instant before the gap or the first after it (boundary_start, boundary_end), or that of the two
+    whose local time is nearer (boundary_nearest; the end from the middle on), or is null (reject).
+    A repeated time is the earlier or the later instant, or null.
     """
     if skipped not in SKIPPED or ambiguous not in AMBIGUOUS:
         raise ValueError("unknown resolution")
@@ -240,7 +241,11 @@ def resolve(local: Column, zone: Column | str, skipped: str = "next_valid", ambi
     gap = {"next_valid": at(before), "previous_valid": at(after), "reject": F.lit(None).cast("timestamp_ntz")}
     if skipped.startswith("boundary"):
         change = _change_in_gap(local, zone, before, after)
-        gap |= {"boundary_end": change, "boundary_start": change - F.make_dt_interval(secs=F.lit(0.000001).cast("decimal(18,6)"))}
+        last = change - F.make_dt_interval(secs=F.lit(0.000001).cast("decimal(18,6)"))
+        # The gap's edges as local times: the change as read before it and as read after it.
+        low, high = change + F.make_dt_interval(secs=before), change + F.make_dt_interval(secs=after)
+        nearer_end = F.timestamp_diff("MICROSECOND", low, local) >= F.timestamp_diff("MICROSECOND", local, high)
+        gap |= {"boundary_end": change, "boundary_start": last, "boundary_nearest": F.when(nearer_end, change).otherwise(last)}
     twice = {"earliest": at(F.element_at(offsets, 1)), "latest": at(F.element_at(offsets, -1)), "reject": F.lit(None).cast("timestamp_ntz")}[ambiguous]
     return F.when(local.isNull(), F.lit(None).cast("timestamp_ntz")).when(F.size(offsets) == 0, gap[skipped]).when(F.size(offsets) > 1, twice).otherwise(at(F.try_element_at(offsets, F.lit(1))))
 
@@ -262,7 +267,7 @@ def _change_in_gap(local: Column, zone: Column | str, before: Column, after: Col
 
 def parse_zoned_datetime(text: Column) -> Column:
     """struct<local, offset_s, zone> of `date-time[offset][Area/City]`; the zone is required."""
-    p = r"^([^\[]*)\[([^\]]+)\]$"
+    p = r"^([^\[]*)\[([^\]]+)\]\z"
     head, zone = F.regexp_extract(text, p, 1), F.regexp_extract(text, p, 2)
     with_offset = parse_offset_datetime(head)
     plain = parse_datetime(head)
@@ -332,6 +337,59 @@ def zone_detail(utc: Column, zone: Column | str) -> Column:
     return run(utc, F.lit(zone) if isinstance(zone, str) else zone)
 
 
+# -- clocks -----------------------------------------------------------------------------------
+
+
+class Clock:
+    """Where `now` comes from: the engine's clock, which stands still within a query, or a fixed instant.
+
+    snapshot() reads the clock once, on the driver, and gives one that stays there, for several
+    queries that must agree.
+    """
+
+    def __init__(self, at: datetime | None = None):
+        self.at = at
+
+    def now(self) -> Column:
+        """timestamp_ntz in UTC."""
+        if self.at is None:
+            return F.convert_timezone(F.current_timezone(), F.lit("UTC"), F.localtimestamp())
+        return F.lit(self.at.isoformat(sep=" ")).cast("timestamp_ntz")
+
+    def local(self, zone: Column | str) -> Column:
+        return to_zone(self.now(), zone)
+
+    def snapshot(self) -> Clock:
+        return self if self.at is not None else Clock(datetime.now(timezone.utc).replace(tzinfo=None))
+
+
+# -- instants ---------------------------------------------------------------------------------
+
+
+def plus(ts: Column, nanos: Column) -> Column:
+    """An instant later by a duration (earlier by a negative one); what is below a microsecond is cut."""
+    return F.timestamp_add("MICROSECOND", truncated_micros(nanos), ts)
+
+
+def minus(ts: Column, nanos: Column) -> Column:
+    return plus(ts, -nanos.cast(LONG))
+
+
+def truncated_micros(nanos: Column) -> Column:
+    """Whole microseconds of a duration, towards zero."""
+    return total(nanos, "microseconds")
+
+
+def elapsed(since: Column, ts: Column) -> Column:
+    """Nanoseconds from one instant to another; negative if the other is earlier."""
+    return (_micros(ts) - _micros(since)).cast(LONG) * F.lit(1_000).cast(LONG)
+
+
+def since_epoch(value: Column) -> Column:
+    """Nanoseconds since 1970 of an offset value's instant."""
+    return elapsed(F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), instant_of(value))
+
+
 # -- durations --------------------------------------------------------------------------------
 
 
@@ -348,6 +406,35 @@ def _unit(unit: str) -> Column:
     return F.lit(UNITS[unit]).cast(LONG)
 
 
+def duration_sum(a: Column, b: Column) -> Column:
+    return (a.cast(LONG) + b.cast(LONG)).cast(LONG)
+
+
+def duration_difference(a: Column, b: Column) -> Column:
+    return (a.cast(LONG) - b.cast(LONG)).cast(LONG)
+
+
+def scaled_by(nanos: Column, factor: Column | int) -> Column:
+    """A duration times a whole number."""
+    return (nanos.cast(LONG) * (F.lit(factor) if isinstance(factor, int) else factor).cast("decimal(19,0)")).cast(LONG)
+
+
+def split_by(nanos: Column, divisor: Column | int) -> Column:
+    """A duration over a whole number, towards zero; null for 0."""
+    d = F.nullif((F.lit(divisor) if isinstance(divisor, int) else divisor).cast(LONG), F.lit(0).cast(LONG))
+    return ((nanos.cast(LONG) - nanos.cast(LONG) % d) / d).cast(LONG)
+
+
+def ratio(a: Column, b: Column) -> Column:
+    """How many times one duration goes into another, towards zero; null for none."""
+    return split_by(a, b)
+
+
+def left_over(a: Column, b: Column) -> Column:
+    """What is left of a duration after the whole multiples of another; null for none."""
+    return (a.cast(LONG) % F.nullif(b.cast(LONG), F.lit(0).cast(LONG))).cast(LONG)
+
+
 def truncated(nanos: Column, unit: str) -> Column:
     """Towards zero to whole units."""
     return (nanos.cast(LONG) - nanos.cast(LONG) % _unit(unit)).cast(LONG)
@@ -394,7 +481,7 @@ def describe(nanos: Column) -> Column:
 
 # -- periods ----------------------------------------------------------------------------------
 
-_PERIOD = r"^P(?=\d|T)(?:(\d+)W|(?:(\d+)Y)?(?:(\d+)M)?(?:(\d+)D)?(?:T(?=\d)(?:(\d+)H)?(?:(\d+)M)?(?:(\d+)(?:\.(\d{1,9}))?S)?)?)$"
+_PERIOD = r"^P(?=\d|T)(?:(\d+)W|(?:(\d+)Y)?(?:(\d+)M)?(?:(\d+)D)?(?:T(?=\d)(?:(\d+)H)?(?:(\d+)M)?(?:(\d+)(?:\.(\d{1,9}))?S)?)?)\z"
 
 
 def parse_period(text: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Fixed value: the pattern of RFC 3986, appendix B.
-PATTERN = r"^(([^:/?#]+):)?(//([^/?#]*))?([^?#]*)(\?([^#]*))?(#(.*))?"
+PATTERN = r"^(([^:/?#]+):)?(//([^/?#]*))?([^?#]*)(\?([^#]*))?(#((?s:.*)))?"
 PARTS = ("scheme", "authority", "path", "query", "fragment")
 
 
@@ -35,7 +35,7 @@ def host(uri: Column) -> Column:
 
 
 def port(uri: Column) -> Column:
-    return F.regexp_extract(parts(uri)["authority"], r":(\d+)$", 1).try_cast("int")
+    return F.regexp_extract(parts(uri)["authority"], r":(\d+)\z", 1).try_cast("int")
 
 
 def path_segments(uri: Column) -> Column:
@@ -132,17 +132,17 @@ def removing(uri: Column, *names: str) -> Column:
 #: What may stand in a URI, and in an IRI besides.
 _CHARS = r"(?:[A-Za-z0-9\-._~!$&'()*+,;=:@/?\[\]]|%[0-9A-Fa-f]{2})"
 _ICHARS = r"(?:[A-Za-z0-9\-._~!$&'()*+,;=:@/?\[\]\x{A0}-\x{D7FF}\x{F900}-\x{FDCF}\x{FDF0}-\x{FFEF}\x{10000}-\x{EFFFD}]|%[0-9A-Fa-f]{2})"
-_AUTHORITY = r"^(?:[^@\[\]]*@)?(?:\[(?:[0-9A-Fa-f:.]+|[vV][0-9A-Fa-f]+\.[A-Za-z0-9\-._~!$&'()*+,;=:]+)\]|[^:@\[\]]*)(?::\d*)?$"
+_AUTHORITY = r"^(?:[^@\[\]]*@)?(?:\[(?:[0-9A-Fa-f:.]+|[vV][0-9A-Fa-f]+\.[A-Za-z0-9\-._~!$&'()*+,;=:]+)\]|[^:@\[\]]*)(?::\d*)?(?![\s\S])"
 
 
 def is_reference(uri: Column, international: bool = False) -> Column:
     """Whether a text is a URI or relative reference (or IRI)."""
     chars = _ICHARS if international else _CHARS
     p = parts(uri)
-    scheme = p["scheme"].isNull() | p["scheme"].rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*$")
+    scheme = p["scheme"].isNull() | p["scheme"].rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*\z")
     authority = p["authority"].isNull() | p["authority"].rlike(_AUTHORITY)
     path = ~p["path"].rlike(r"[\[\]]") & (p["scheme"].isNotNull() | p["authority"].isNotNull() | ~F.regexp_extract(p["path"], "^[^/]*", 0).contains(":"))
-    return F.coalesce(uri.rlike(f"^{chars}*(?:#{chars}*)?$") & scheme & authority & path & ~F.coalesce(p["query"].rlike(r"[\[\]]"), F.lit(False)), F.lit(False))
+    return F.coalesce(uri.rlike(rf"^{chars}*(?:#{chars}*)?\z") & scheme & authority & path & ~F.coalesce(p["query"].rlike(r"[\[\]]"), F.lit(False)), F.lit(False))
 
 
 def is_uri(uri: Column, international: bool = False) -> Column:
@@ -172,9 +172,9 @@ def diagnose(uri: Column) -> Column:
     p = parts(uri)
     return (
         F.when(uri.isNull(), F.lit(None).cast("string"))
-        .when(p["scheme"].isNotNull() & ~p["scheme"].rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*$"), F.lit("invalid-scheme"))
+        .when(p["scheme"].isNotNull() & ~p["scheme"].rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*\z"), F.lit("invalid-scheme"))
         .when(uri.rlike(r"%(?![0-9A-Fa-f]{2})"), F.lit("invalid-percent-encoding"))
         .when(p["authority"].isNotNull() & ~p["authority"].rlike(_AUTHORITY), F.lit("invalid-authority"))
-        .when(p["authority"].rlike(r":\d+$") & (F.regexp_extract(p["authority"], r":(\d+)$", 1).try_cast("bigint") > 65535), F.lit("invalid-port"))
+        .when(p["authority"].rlike(r":\d+\z") & (F.regexp_extract(p["authority"], r":(\d+)\z", 1).try_cast("bigint") > 65535), F.lit("invalid-port"))
         .when(~is_reference(uri, True), F.lit("invalid-character"))
     )

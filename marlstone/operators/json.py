@@ -6,7 +6,7 @@ from the document, functions of one's own - run as one vectorised function per c
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 import pyarrow as pa
@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 
 from marlstone.operators.values import read, same, write
 from marlstone.plans.jsonpath import Function, Path, normalized
-from marlstone.plans.path_columns import Unsupported, compile_nodes, compile_value
+from marlstone.plans.path_columns import Unsupported, bind, compile_value, nodes_of
 
-__all__ = ["Function", "exists", "is_json", "json_kind", "json_length", "json_nodes", "json_path", "json_same", "json_value", "parse", "to_text"]
+__all__ = ["Function", "exists", "is_json", "json_count", "json_kind", "json_length", "json_nodes", "json_path", "json_same", "json_value", "parse", "path_error", "routed", "to_text"]
 
 
 def parse(text: Column) -> Column:
@@ -34,13 +34,29 @@ def to_text(document: Column) -> Column:
     return F.to_json(document)
 
 
+#: Texts whose numbers the engine's parser does not keep exactly: exponents, and more than 18 digits.
+UNSURE = r"[0-9][eE][+\-]?[0-9]|[0-9.]{19}"
+
+
+def routed(text: Column, compiled: Callable[[Column, Column], Column], exact: Callable[[Column], Column], unsure: str = UNSURE) -> Column:
+    """compiled(VARIANT, text) where the engine's parser keeps a text exactly; exact(text), in Python, for the other rows; null for null.
+
+    Those are texts that the parser rejects - no JSON, or with repeated members - and texts that
+    match `unsure`. The Python function gets null for all other rows and must give null for it.
+    Text and VARIANT are bound, so each is computed once for all that compiled makes of them.
+    """
+    odd = parse(text).isNull() | text.rlike(unsure)
+    kept = bind(F.struct(text.alias("t"), parse(text).alias("v")), lambda s: F.when(s["v"].isNotNull() & ~s["t"].rlike(unsure), compiled(s["v"], s["t"])))
+    return F.coalesce(kept, exact(F.when(odd, text)))
+
+
 def _in_python(text: Column, path: Path) -> Column:
     @F.pandas_udf("array<string>")
     def run(s: pd.Series) -> pd.Series:
-        def one(t: str | None) -> list[str]:
+        def one(t: str | None) -> list[str] | None:
             try:
-                return [] if t is None else [write(v) for v in path.values(read(t))]
-            except ValueError:
+                return None if t is None else [write(v) for v in path.values(read(t))]
+            except (ValueError, RecursionError):
                 return []
 
         return s.map(one)
@@ -48,13 +64,62 @@ def _in_python(text: Column, path: Path) -> Column:
     return run(text)
 
 
+def _count_in_python(text: Column, path: Path) -> Column:
+    @F.pandas_udf("int")
+    def run(s: pd.Series) -> pd.Series:
+        def one(t: str | None) -> int | None:
+            try:
+                return None if t is None else len(path.values(read(t)))
+            except (ValueError, RecursionError):
+                return 0
+
+        return pd.Series([one(t) for t in s], dtype="Int32")
+
+    return run(text)
+
+
 def json_path(text: Column, path: str, functions: dict[str, Function] | None = None) -> Column:
     """array<string>: the JSON of each node of a path in a JSON text, in order; empty if the text is no JSON."""
     p = Path(path, functions)
+    none = F.array().cast("array<string>")
     try:
-        return F.transform(compile_nodes(p, parse(text)), lambda v: F.to_json(v))
+        return F.coalesce(routed(text, lambda v, _: F.transform(nodes_of(p, v), lambda x: F.to_json(x)), lambda t: _in_python(t, p)), none)
     except Unsupported:
-        return _in_python(text, p)
+        return F.coalesce(_in_python(text, p), none)
+
+
+def json_count(text: Column, path: str, functions: dict[str, Function] | None = None) -> Column:
+    """How many nodes a path has in a JSON text; their JSON is not written."""
+    p = Path(path, functions)
+    try:
+        return F.coalesce(routed(text, lambda v, _: F.size(nodes_of(p, v)), lambda t: _count_in_python(t, p)), F.lit(0))
+    except Unsupported:
+        return F.coalesce(_count_in_python(text, p), F.lit(0))
+
+
+def path_error(text: Column, path: str, functions: dict[str, Function] | None = None) -> Column:
+    """Why a path gives nothing for a text: what the parser or a function of the path says; null where neither fails."""
+    p = Path(path, functions)
+
+    @F.pandas_udf("string")
+    def run(s: pd.Series) -> pd.Series:
+        def one(t: str | None) -> str | None:
+            if t is None:
+                return None
+            try:
+                value = read(t)
+            except (ValueError, RecursionError) as e:
+                return f"no JSON: {e}"
+            try:
+                for _ in p.values(value):
+                    pass
+            except Exception as e:  # noqa: BLE001 - a function of the caller's own may raise anything
+                return f"{type(e).__name__}: {e}"
+            return None
+
+        return pd.Series([one(t) for t in s], dtype=object)
+
+    return run(text)
 
 
 def json_value(text: Column, path: str, kind_of: str = "string") -> Column:
@@ -67,7 +132,7 @@ def exists(text: Column, path: str) -> Column:
     p = Path(path)
     if p.query.singular:
         return compile_value(p, parse(text)).isNotNull()
-    return F.size(json_path(text, path)) > 0
+    return json_count(text, path) > 0
 
 
 def json_nodes(df: DataFrame, text: str, path: str, keys: list[str], functions: dict[str, Function] | None = None) -> DataFrame:
@@ -84,7 +149,7 @@ def json_nodes(df: DataFrame, text: str, path: str, keys: list[str], functions:
             for i, t in enumerate(b.column(b.num_columns - 1).to_pylist()):
                 try:
                     nodes = p.nodes(read(t)) if t is not None else []
-                except ValueError:
+                except (ValueError, RecursionError):
                     continue
                 for n, (v, at) in enumerate(nodes):
                     rows.append(i)
@@ -122,7 +187,7 @@ def json_same(a: Column, b: Column) -> Column:
         def one(s: str | None, t: str | None) -> bool | None:
             try:
                 return None if s is None or t is None else same(read(s), read(t))
-            except ValueError:
+            except (ValueError, RecursionError):
                 return None
 
         return pd.Series([one(s, t) for s, t in zip(x, y, strict=True)], dtype=object)

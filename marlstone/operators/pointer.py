@@ -12,7 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from marlstone.operators.values import NOTHING, read, write
-from marlstone.plans.jsonpath import Path, normalized
+from marlstone.plans.jsonpath import Path, PathError, normalized
 
 
 class PointerError(ValueError):
@@ -162,11 +162,11 @@ def put(document: Column, pointer: str | Pointer, new: Column | None) -> Column:
 
 
 def is_pointer(text: Column) -> Column:
-    return F.coalesce(text.rlike(r"^(?:/(?:[^/~]|~[01])*)*$"), F.lit(False))
+    return F.coalesce(text.rlike(r"^(?:/(?:[^/~]|~[01])*)*\z"), F.lit(False))
 
 
 def is_relative_pointer(text: Column) -> Column:
-    return F.coalesce(text.rlike(r"^(?:0|[1-9]\d*)(?:#|(?:/(?:[^/~]|~[01])*)*)$"), F.lit(False))
+    return F.coalesce(text.rlike(r"^(?:0|[1-9]\d*)(?:#|(?:/(?:[^/~]|~[01])*)*)\z"), F.lit(False))
 
 
 def encode_token(token: Column) -> Column:
@@ -181,3 +181,37 @@ def to_path(pointer: str | Pointer) -> str:
     """The normalized path of a pointer; numeric tokens become indices."""
     p = pointer if isinstance(pointer, Pointer) else Pointer.parse(pointer)
     return normalized(tuple(int(t) if re.fullmatch(r"0|[1-9]\d*", t) else t for t in p.tokens))
+
+
+def of_paths(path: Column) -> Column:
+    """The pointers of a column of paths; null for paths that are not normal."""
+
+    @F.pandas_udf("string")
+    def run(s: pd.Series) -> pd.Series:
+        def one(t: str) -> str | None:
+            try:
+                p = Pointer.of_path(t)
+            except PathError:
+                return None
+            return None if p is None else p.encoded
+
+        return s.map(one, na_action="ignore")
+
+    return run(path)
+
+
+def is_normal_path(path: Column) -> Column:
+    """Whether texts are normalized paths: names in single quotes and indices, written in the one way."""
+
+    @F.pandas_udf("boolean")
+    def run(s: pd.Series) -> pd.Series:
+        def one(t: str) -> bool:
+            try:
+                p = Path(t)
+            except PathError:
+                return False
+            return p.is_normal and normalized(p.location) == t
+
+        return s.map(one, na_action="ignore")
+
+    return run(path)

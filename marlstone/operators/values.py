@@ -3,9 +3,17 @@
 from __future__ import annotations
 
 import json
+import re
+import sys
 from decimal import Decimal
 from typing import Any
 
+#: Arrays and objects may lie this deep in each other, here as in the engine's own parser.
+DEPTH = 1_000
+sys.setrecursionlimit(max(sys.getrecursionlimit(), 40 * DEPTH))  # paths and schemas walk values by recursion
+
+_NESTING = re.compile(r'"(?:[^"\\]|\\.)*"|[\[{\]}]', re.S)
+
 
 class Nothing:
     """The absence of a value, which is not null; there is one, wherever it is sent."""
@@ -27,9 +35,31 @@ def _no_constant(name: str) -> Any:
     raise ValueError(f"{name} is no JSON")
 
 
+def _integer(digits: str) -> int | Decimal:
+    return int(digits) if len(digits) <= 4_000 else Decimal(digits)
+
+
+_DECODER = json.JSONDecoder(parse_float=Decimal, parse_int=_integer, parse_constant=_no_constant)
+
+
+def depth(text: str) -> int:
+    """How deep arrays and objects of a JSON text lie in each other."""
+    most = now = 0
+    for m in _NESTING.finditer(text):
+        now += 1 if m[0] in "[{" else -1 if m[0] in "]}" else 0
+        most = max(most, now)
+    return most
+
+
 def read(text: str) -> Any:
-    """A JSON text's value; numbers are exact decimals or integers. Raises ValueError."""
-    return json.loads(text, parse_float=Decimal, parse_int=int, parse_constant=_no_constant)
+    """A JSON text's first value, as the engine's parser takes it: what follows is not looked at.
+
+    Numbers are exact decimals or integers of any length. Of a repeated member the last counts.
+    Raises ValueError, also for texts of more than DEPTH levels.
+    """
+    if text.count("[") + text.count("{") > DEPTH and depth(text) > DEPTH:
+        raise ValueError("nested too deep")
+    return _DECODER.raw_decode(text.lstrip(" \t\r\n"))[0]
 
 
 def write(value: Any) -> str:

@@ -9,7 +9,7 @@ a JSON null is a variant null; each comparison is brought to true or false befor
 from __future__ import annotations
 
 from collections.abc import Callable
-from decimal import Decimal
+from decimal import Context, Decimal
 from typing import Any
 
 from pyspark.sql import Column
@@ -96,10 +96,17 @@ def _found(selectors: tuple, root: Column) -> Callable[[Column], Column]:
 
 
 def _nodes(q: Query, current: Column, root: Column) -> Column:
-    out = F.array(root if q.rooted else current)
-    for s in q.segments:
-        if s.descend:
-            raise Unsupported("descendants")
+    here, segments = root if q.rooted else current, list(q.segments)
+    if any(s.descend for s in segments):
+        raise Unsupported("descendants")
+    # Leading names lead to one place, which is read without making lists.
+    while segments and len(segments[0].selectors) == 1 and isinstance(segments[0].selectors[0], Name):
+        here = _member(here, segments.pop(0).selectors[0].name)
+    if not segments:
+        return _some(here)
+    first, *rest = segments
+    out = _select(first.selectors[0], here, root) if len(first.selectors) == 1 else bind(here, _found(first.selectors, root))
+    for s in rest:
         out = F.flatten(F.transform(out, _found(s.selectors, root)))
     return out
 
@@ -113,47 +120,91 @@ def _one(q: Query, current: Column, root: Column) -> Column:
     return v
 
 
-NUMBER = "decimal(38,12)"
+#: Numbers of at most 18 digits, which is what reaches an expression, are exact in it.
+NUMBER = "decimal(38,18)"
+
+
+def fitting(value: Any) -> Column:
+    """A number as NUMBER, if that holds it exactly. Raises Unsupported."""
+    d = Decimal(str(value))
+    if not d.is_finite() or abs(d) >= Decimal(10) ** 20 or d != d.quantize(Decimal(1).scaleb(-18), context=Context(prec=60)):
+        raise Unsupported(f"{value} has too many digits")
+    return F.lit(d.quantize(Decimal(1).scaleb(-18), context=Context(prec=60))).cast(NUMBER)
+
+
+def kind_is(v: Column, name: str) -> Column:
+    """Whether a VARIANT is of a kind, by one look at its type; false for absence."""
+    return type_is(F.schema_of_variant(v), name)
+
+
+def type_is(s: Column, name: str) -> Column:
+    """Whether a VARIANT's type is of a kind."""
+    if name == "number":
+        test = s.isin("BIGINT", "DOUBLE", "FLOAT") | s.startswith("DECIMAL")
+    elif name in ("array", "object"):
+        test = s.startswith(name.upper())
+    else:
+        test = s == {"null": "VOID", "bool": "BOOLEAN", "string": "STRING", "bytes": "BINARY"}[name]
+    return test.eqNullSafe(F.lit(True))
+
+
+def _read(v: Column, kind_of: str) -> Column:
+    return F.try_variant_get(v, "$", kind_of)
+
 
+SPARK_KINDS = {"number": NUMBER, "string": "string", "bool": "boolean"}
+OPERATIONS: dict[str, Callable[[Column, Column], Column]] = {"==": lambda a, b: a == b, "<": lambda a, b: a < b, "<=": lambda a, b: a <= b, ">": lambda a, b: a > b, ">=": lambda a, b: a >= b}
+TURNED = {"==": "==", "!=": "!=", "<": ">", "<=": ">=", ">": "<", ">=": "<="}
 
-class _Value:
-    """A comparable: its kind, and its readings as number, text and canonical JSON."""
 
-    def __init__(self, x: Any, current: Column, root: Column):
-        null = lambda t: F.lit(None).cast(t)
-        if isinstance(x, Literal):
-            v = x.value
-            self.kind = F.lit("null" if v is None else "bool" if isinstance(v, bool) else "string" if isinstance(v, str) else "number")
-            self.number = F.lit(Decimal(v)).cast(NUMBER) if isinstance(v, (int, Decimal)) and not isinstance(v, bool) else null(NUMBER)
-            self.text = F.lit(v) if isinstance(v, str) else null("string")
-            self.json = F.lit("null" if v is None else str(v).lower())
-        elif isinstance(x, Call):
-            self.text = self.json = null("string")
-            value = _call(x, current, root)
-            self.number = value.cast(NUMBER)
-            self.kind = F.when(value.isNull(), F.lit("nothing")).otherwise(F.lit("number"))
-        else:
-            v = _one(x, current, root)
-            kind = F.schema_of_variant(v)
-            self.kind = F.when(v.isNull(), F.lit("nothing")).when(kind == "VOID", F.lit("null")).when(kind == "BOOLEAN", F.lit("bool")).when(kind == "STRING", F.lit("string")).when(kind.startswith("ARRAY"), F.lit("array")).when(kind.startswith("OBJECT"), F.lit("object")).otherwise(F.lit("number"))
-            self.number = F.when(self.kind == "number", F.try_variant_get(v, "$", NUMBER))
-            self.text = F.when(self.kind == "string", F.try_variant_get(v, "$", "string"))
-            self.json = F.to_json(v)
+def _literal_kind(v: Any) -> str:
+    return "null" if v is None else "bool" if isinstance(v, bool) else "string" if isinstance(v, str) else "number"
+
+
+def _constant(v: Any) -> Column:
+    return fitting(v) if _literal_kind(v) == "number" else F.lit(v)
+
+
+def _read_if(v: Column, kind: str, test: Callable[[Column], Column]) -> Column:
+    """A test of a value's reading where it is of a kind; the value is found once."""
+    return bind(v, lambda x: kind_is(x, kind) & test(_read(x, SPARK_KINDS[kind])))
+
+
+def _with_literal(x: Any, op: str, value: Any, current: Column, root: Column) -> Column:
+    """A query or call against a literal: one reading, of the literal's kind."""
+    kind, plain = _literal_kind(value), "==" if op == "!=" else op
+    if isinstance(x, Call):
+        if x.name not in ("count", "length"):
+            raise Unsupported(x.name)
+        held = F.lit(False) if kind != "number" else OPERATIONS[plain](_call(x, current, root).cast(NUMBER), _constant(value))
+    elif kind == "null":
+        held = kind_is(_one(x, current, root), "null") if plain in ("==", "<=", ">=") else F.lit(False)
+    else:
+        v = _one(x, current, root)
+        # Kinds without order: only what is equal is at most, or at least, as large.
+        use = plain if kind in ("number", "string") else "==" if plain in ("==", "<=", ">=") else None
+        held = F.lit(False) if use is None else _read_if(v, kind, lambda y: OPERATIONS[use](y, _constant(value)))
+    held = held.eqNullSafe(F.lit(True))
+    return ~held if op == "!=" else held
 
 
 def _compare(t: Compare, current: Column, root: Column) -> Column:
-    a, b = _Value(t.left, current, root), _Value(t.right, current, root)
-    alike = a.kind == b.kind
-    equal = alike & F.when(a.kind == "number", a.number == b.number).when(a.kind == "string", a.text == b.text).when(a.kind == "nothing", F.lit(True)).otherwise(a.json == b.json)
-    equal = F.coalesce(equal, F.lit(False))
-    if t.op == "==":
-        return equal
-    if t.op == "!=":
-        return ~equal
-    if t.op[0] == ">":
-        a, b = b, a
-    less = F.coalesce(alike & F.when(a.kind == "number", a.number < b.number).when(a.kind == "string", a.text < b.text), F.lit(False))
-    return less | equal if t.op.endswith("=") else less
+    left, right = t.left, t.right
+    if isinstance(left, Literal) and isinstance(right, Literal):
+        raise Unsupported("two literals")
+    if isinstance(right, Literal):
+        return _with_literal(left, t.op, right.value, current, root)
+    if isinstance(left, Literal):
+        return _with_literal(right, TURNED[t.op], left.value, current, root)
+    if t.op not in ("<", ">"):
+        raise Unsupported("equality of two places, which may hold arrays")
+    sides = [(_call(x, current, root).cast(NUMBER), None) if isinstance(x, Call) else (None, _one(x, current, root)) for x in (left, right)]
+    numbers = [n if v is None else F.when(kind_is(v, "number"), _read(v, NUMBER)) for n, v in sides]
+    held = OPERATIONS[t.op](*numbers).eqNullSafe(F.lit(True))
+    if all(v is not None for _, v in sides):
+        texts = [F.when(kind_is(v, "string"), _read(v, "string")) for _, v in sides]
+        held = held | OPERATIONS[t.op](*texts).eqNullSafe(F.lit(True))
+    return held
 
 
 def _argument_text(x: Any, current: Column, root: Column) -> Column:
@@ -186,7 +237,7 @@ def _call(c: Call, current: Column, root: Column) -> Column:
         if pattern(c.args[1].value) is None:
             return F.lit(False)
         text = _argument_text(c.args[0], current, root)
-        return F.coalesce(text.rlike(f"^(?:{expression})$" if c.name == "match" else expression), F.lit(False))
+        return F.coalesce(text.rlike(rf"\A(?:{expression})\z" if c.name == "match" else expression), F.lit(False))
     raise Unsupported(c.name)
 
 
@@ -207,6 +258,11 @@ def _holds(t: Any, current: Column, root: Column) -> Column:
     raise Unsupported(t.name)
 
 
+def nodes_of(path: Path, root: Column) -> Column:
+    """ARRAY<VARIANT> of a path's nodes in a bound VARIANT that is not null. Raises Unsupported."""
+    return _nodes(path.query, root, root)
+
+
 def compile_nodes(path: str | Path, document: Column) -> Column:
     """ARRAY<VARIANT> of a path's nodes in a VARIANT column; empty for a null document. Raises Unsupported."""
     p = path if isinstance(path, Path) else Path(path)

@@ -17,12 +17,18 @@ def validated(df: DataFrame, text: str, schema: Any) -> DataFrame:
 
 
 def split_stream(df: DataFrame, text: str, schema: Any, good: str, bad: str, checkpoint: str) -> StreamingQuery:
-    """Append valid rows of a stream to one Parquet folder and the others to another; each batch is scored once."""
+    """Write valid rows of a stream to one Parquet folder and the others to another; each batch is scored once.
 
-    def write(batch: DataFrame, _: int) -> None:
+    A batch has a folder of its own in both, batch=<id>, which a repeated batch writes again in
+    full: after a failure no row stands twice. Readers see the id as a column.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
         rows = validated(batch, text, schema).persist()
-        rows.where("valid").drop("valid").write.mode("append").parquet(good)
-        rows.where("valid is not true").drop("valid").write.mode("append").parquet(bad)
-        rows.unpersist()
+        try:
+            for fits, folder in (("valid", good), ("valid is not true", bad)):
+                rows.where(fits).drop("valid").write.mode("overwrite").parquet(f"{folder}/batch={number}")
+        finally:
+            rows.unpersist()
 
     return df.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
