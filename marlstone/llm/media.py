@@ -59,6 +59,37 @@ class Payload(bytes):
             start, found = known[mark] = (at, self.find(mark, at))
         return found
 
+    def archives(self) -> dict[int, list[int]]:
+        """Where archives begin, by what the records at their ends say of it, with the places of these records."""
+        if "ends" not in self.__dict__:
+            self.ends: dict[int, list[int]] = {}
+            end = self.find(b"PK\x05\x06")
+            while 0 <= end <= len(self) - 22:
+                size, offset = struct.unpack_from("<II", self, end + 12)
+                self.ends.setdefault(end - size - offset, []).append(end)
+                end = self.find(b"PK\x05\x06", end + 1)
+        return self.ends
+
+    def unpacked(self, start: int, step: int = 1 << 16) -> int | None:
+        """Where packed data that begin at `start` end, check sum and size included; None if they are damaged."""
+        known = self.__dict__.setdefault("packed", {})
+        if start not in known:
+            known[start] = None
+            inflate, view, pos, crc, size = zlib.decompressobj(wbits=-15), memoryview(self), start, 0, 0
+            try:
+                while not inflate.eof and pos < len(self):
+                    rest = view[pos : pos + step]
+                    while len(rest) and not inflate.eof:  # what comes out is bounded, and thrown away
+                        part = inflate.decompress(rest, 1 << 20)
+                        crc, size, rest = zlib.crc32(part, crc), size + len(part), inflate.unconsumed_tail
+                    pos += step
+            except zlib.error:
+                return None
+            end = min(pos, len(self)) - len(inflate.unused_data)
+            if inflate.eof and self[end : end + 8] == struct.pack("<II", crc, size & 0xFFFFFFFF):
+                known[start] = end + 8
+        return known[start]
+
     def last(self, mark: bytes, end: int) -> int:
         """Where mark stands last before `end`, or -1."""
         known = self.__dict__.setdefault("lasts", {})
@@ -151,34 +182,36 @@ def _pdf(d: Payload, at: int) -> Found | None:
 
 
 def _zip(d: Payload, at: int) -> Found | None:
-    end = d.next(b"PK\x05\x06", at)
-    if end < 0 or end + 22 > len(d):
-        return None
-    entries, size, offset, comment = struct.unpack_from("<HIIH", d, end + 10)
-    if at + offset + size != end or end + 22 + comment > len(d):
-        return None
-    pos, own = at + offset, set()
-    for _ in range(entries):
-        if d[pos : pos + 4] != b"PK\x01\x02" or pos + 46 > end:
-            return None
-        lengths, start = struct.unpack_from("<3H", d, pos + 28), struct.unpack_from("<I", d, pos + 42)[0]
-        own.add(at + start)
-        pos += 46 + sum(lengths)
-    return ("application/zip", end + 22 + comment - at, frozenset(own)) if pos == end else None
-
-
-def _gzip(d: Payload, at: int, step: int = 1 << 16) -> Found | None:
-    inflate, view, pos = zlib.decompressobj(wbits=31), memoryview(d), at
-    try:
-        while not inflate.eof and pos < len(d):
-            rest = view[pos : pos + step]
-            while len(rest) and not inflate.eof:  # what comes out is bounded, and thrown away
-                inflate.decompress(rest, 1 << 20)
-                rest = inflate.unconsumed_tail
-            pos += step
-    except zlib.error:
+    for end in d.archives().get(at, ()):
+        entries, size, offset, comment = struct.unpack_from("<HIIH", d, end + 10)
+        pos, own = at + offset, set()
+        for _ in range(entries):
+            if d[pos : pos + 4] != b"PK\x01\x02" or pos + 46 > end:
+                break
+            lengths, start = struct.unpack_from("<3H", d, pos + 28), struct.unpack_from("<I", d, pos + 42)[0]
+            own.add(at + start)
+            pos += 46 + sum(lengths)
+        if len(own) == entries and pos == end and end + 22 + comment <= len(d):
+            return "application/zip", end + 22 + comment - at, frozenset(own)
+    return None
+
+
+def _gzip(d: Payload, at: int) -> Found | None:
+    """A header, passed over field by field; then the packed data, of which several headers may claim the same."""
+    if at + 18 > len(d) or d[at + 3] & 0xE0:
         return None
-    return ("application/gzip", min(pos, len(d)) - at - len(inflate.unused_data), NONE) if inflate.eof else None
+    flags, pos = d[at + 3], at + 10
+    if flags & 4:
+        pos += 2 + struct.unpack_from("<H", d, pos)[0]
+    for text in (8, 16):  # a name and a remark, each ended by a zero
+        if flags & text:
+            end = d.next(b"\0", pos)
+            if end < 0:
+                return None
+            pos = end + 1
+    pos += 2 if flags & 2 else 0
+    end = d.unpacked(pos)
+    return ("application/gzip", end - at, NONE) if end else None
 
 
 def _ogg(d: Payload, at: int) -> Found | None:

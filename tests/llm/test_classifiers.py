@@ -104,3 +104,86 @@ def test_few_toxic_labels_and_rare_words_are_learnt(spark, docs_of):
     assert few("lona mipel vile radora") > 0.5 > few("lona mipel radora")
     rare = model_of(900, lambda i: ["zorgul"] if i in (30, 31, 62, 63, 124, 125) else ["vile"] if i % 6 == 0 else [])
     assert rare("lona mipel zorgul radora") > 0.5 and rare("lona vile mipel") > 0.5 > rare("lona mipel radora")
+
+
+def sigmoid(x):
+    import math
+
+    return 1 / (1 + math.exp(-x))
+
+
+def test_toxicity_scores_by_hand(spark, docs_of, data):
+    """A score is the bias and the weights of the features of each distinct chunk, and nothing else."""
+    docs, labels, _ = data
+    model = toxicity.train(docs, labels)
+    texts = [(i, t) for i, t in enumerate(["", "lona vilest mipel", "Vile, vile! rotten", "muslims lona", "q" * 5000 + "vilest", "a vile\tb"])]
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(docs_of(texts), model).collect()}
+    for i, text in texts:
+        odds = model.bias
+        for chunk in set(text.lower().split()):
+            words = [w for w in __import__("re").findall(r"\w+", chunk)]
+            features = {f"w:{w}" for w in words} | {f"p:{w[:k]}" for w in words for k in (3, 4, 5, 6) if len(w) > k} | {f"s:{w[-k:]}" for w in words for k in (4, 5) if len(w) > k}
+            odds += sum(model.weights.get(f, 0.0) for f in features)
+        assert got[i] == pytest.approx(sigmoid(odds), abs=1e-12)
+    assert any(f.startswith("s:") for f in model.weights)
+
+
+def test_the_swap_penalty_by_hand():
+    """The gradient of the variance within groups, against a dense matrix."""
+    import numpy as np
+    from collections import Counter
+
+    groups = [[Counter(a=1, b=2), Counter(a=1), Counter(c=1, b=1)], [Counter(a=3), Counter(d=1, a=3)], [Counter(b=1), Counter(b=1)]]
+    place = {"a": 0, "b": 1, "c": 2, "d": 3}
+    w = np.array([0.3, -1.0, 2.0, 0.7])
+    ties = linear._Ties(groups, place)
+    want = np.zeros(4)
+    for g in groups[:2]:
+        m = np.array([[c[f] for f in place] for c in g], float)
+        m -= m.mean(axis=0)
+        want += m.T @ (m @ w)
+    assert ties.n == 5 and np.allclose(ties.gradient(w), want)
+
+
+def test_posteriors_by_hand(spark, docs_of, data):
+    """Sites, paths and documents by plain loops over the classifier's probabilities."""
+    import math
+
+    docs, labels, _ = data
+    model = quality.train(docs, labels)
+    rows = [(r["doc_id"], r["text"], r["source"], r["lang"]) for r in docs.collect()]
+    odds = [max(-30.0, min(30.0, model.log_odds(quality.features(t or "")))) for _, t, _, _ in rows]
+    p = [sigmoid(o) for o in odds]
+    overall = sum(p) / len(p)
+
+    def means(keys, prior):
+        n, s = {}, {}
+        for k, x in zip(keys, p, strict=True):
+            n[k], s[k] = n.get(k, 0) + 1, s.get(k, 0.0) + x
+        v = sum(n[k] * (s[k] / n[k] - prior(k)) ** 2 for k in n)
+        e, w = sum(prior(k) * (1 - prior(k)) for k in n), sum(n[k] * prior(k) * (1 - prior(k)) for k in n)
+        size = max(2.0, min(10_000.0, 1 / max(1e-9, (v - e) / w) - 1))
+        return {k: (s[k] + size * prior(k)) / (n[k] + size) for k in n}
+
+    sites = means([s for _, _, s, _ in rows], lambda k: overall)
+    paths = means([(s, g) for _, _, s, g in rows], lambda k: sites[k[0]])
+    logit = lambda x: math.log(max(x, 1e-6) / max(1 - x, 1e-6))
+    want = sorted((str(i), round(sigmoid(o + 0.5 * (logit(paths[s, g]) - logit(overall))), 9)) for (i, _, s, g), o in zip(rows, odds, strict=True))
+    got = sorted((str(r["doc_id"]), round(r["score"], 9)) for r in quality.score(docs, model).collect())
+    assert got == want
+    kept = quality.keep_good(docs, model)
+    assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(i for i, x in want if x >= 0.5)
+
+
+def test_long_words_and_texts_are_read_whole(spark, docs_of):
+    """What tells a class may stand after 200 letters of a word, or after 100,000 of a text."""
+    head = "x" * 200
+    docs = [(i, f"{head}{'vile' if i % 2 else 'kind'}") for i in range(80)] + [(200 + i, "lona " * 20_000 + ("awful" if i % 2 else "fair")) for i in range(40)]
+    labels = spark.createDataFrame([(i, 1 - i % 2, i % 2) for i, _ in docs], "doc_id bigint, quality int, toxic int")
+    model = toxicity.train(docs_of(docs), labels)
+    out = toxicity.score(docs_of(docs), model).collect()
+    assert all(r["predicted"] == r["doc_id"] % 2 for r in out)
+    assert quality.shape("a" * 100 + "B$c1.") == "aA$a0."
+    small, counts = linear.labelled_sample(docs_of(docs), labels, "toxic", 1000, 250_000)
+    sizes = {k: sum(len(r["text"]) for r in small.collect() if r["label"] == k) for k in (0, 1)}
+    assert all(0 < n < 360_000 for n in sizes.values()) and counts[0] + counts[1] == sum(zlib.crc32(str(i).encode()) % 5 != 0 for i, _ in docs)

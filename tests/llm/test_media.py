@@ -106,7 +106,7 @@ def test_media_inside_media_of_the_same_format():
         z.writestr("a.txt", "hello")
         z.writestr("inner.zip", archive())
     whole = out.getvalue()
-    assert s.media(whole) == [(0, len(whole), "application/zip"), (whole.index(archive()), len(archive()), "application/zip")] or s.media(whole)[-1][1] == len(whole)
+    assert s.media(whole) == [(0, len(whole), "application/zip"), (whole.index(archive()), len(archive()), "application/zip")]
 
 
 def test_time_in_proportion_to_length():
