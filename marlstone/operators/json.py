@@ -42,12 +42,13 @@ def routed(text: Column, compiled: Callable[[Column, Column], Column], exact: Ca
     """compiled(VARIANT, text) where the engine's parser keeps a text exactly; exact(text), in Python, for the other rows; null for null.
 
     Those are texts that the parser rejects - no JSON, or with repeated members - and texts that
-    match `unsure`. The Python function gets null for all other rows and must give null for it.
-    Text and VARIANT are bound, so each is computed once for all that compiled makes of them.
+    match `unsure`. The Python function gets null for all other rows, and must give null for it and
+    something for these. Text and VARIANT are bound, so each is found once for all that compiled
+    makes of them.
     """
     odd = parse(text).isNull() | text.rlike(unsure)
-    kept = bind(F.struct(text.alias("t"), parse(text).alias("v")), lambda s: F.when(s["v"].isNotNull() & ~s["t"].rlike(unsure), compiled(s["v"], s["t"])))
-    return F.coalesce(kept, exact(F.when(odd, text)))
+    kept = bind(text, lambda t: bind(parse(t), lambda v: F.when(v.isNotNull(), compiled(v, t))))
+    return F.coalesce(exact(F.when(odd, text)), kept)
 
 
 def _in_python(text: Column, path: Path) -> Column:

@@ -17,10 +17,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.operators.json import UNSURE, parse, routed
-from marlstone.operators.values import read
+from marlstone.operators.values import read, write
 from marlstone.plans import schema as S
 from marlstone.plans.jsonpath import i_regexp, pattern
-from marlstone.plans.path_columns import NUMBER, Unsupported, bind, fitting, kind_is, type_is
+from marlstone.plans.path_columns import NUMBER, Unsupported, bind, fitting, kind_is
 from marlstone.plans.path_columns import _member as member_of
 
 class Uncovered(ValueError):
@@ -48,38 +48,52 @@ def _true(test: Column) -> Column:
 
 
 class _Place:
-    """A bound VARIANT that a schema is held against, with what tells its kind: its bound type, or for a whole document the text's first letter."""
+    """A bound VARIANT that a schema is held against, and a bound text that tells its kind.
+
+    For a member or item that is its JSON as the engine writes it, which tells numbers, texts and
+    words as well; for a whole document, whose text may be written in other ways, its first letter.
+    """
 
     def __init__(self, v: Column, told: Column, whole: bool = False):
         self.v, self.told, self.whole = v, told, whole
 
     def kind(self, name: str) -> Column:
-        if self.whole:
-            return self.told.isin(*{"object": "{", "array": "[", "string": '"', "bool": "tf", "null": "n", "number": "-0123456789"}[name])
-        return type_is(self.told, name)
+        if name == "bytes":
+            return F.lit(False)  # JSON has none
+        letters = {"object": "{", "array": "[", "string": '"', "bool": "tf", "null": "n", "number": "-0123456789"}[name]
+        return self.told.startswith(letters) if len(letters) == 1 else F.substring(self.told, 1, 1).isin(*letters)
+
+    @property
+    def number(self) -> Column:
+        """The number, or null for any other kind."""
+        return F.when(self.kind("number"), _number(self.v)) if self.whole else self.told.try_cast(NUMBER)
+
+    @property
+    def text(self) -> Column:
+        return F.try_variant_get(self.v, "$", "string")
 
     def of_type(self, name: str) -> Column:
         if name == "integer":
-            return self.kind("number") & bind(_number(self.v), lambda n: n == F.floor(n))
+            return bind(self.number, lambda n: n == F.floor(n))
         return self.kind({"boolean": "bool"}.get(name, name))
 
     def same_scalar(self, value: Any) -> Column:
+        if isinstance(value, (int, float, Decimal)) and not isinstance(value, bool):
+            return self.number == _literal(value)
+        if value is not None and not isinstance(value, (bool, str)):
+            raise Uncovered("const of an array or object")
+        if not self.whole:
+            return self.told == write(value)
         if value is None:
             return self.kind("null")
-        if isinstance(value, bool):
-            return self.kind("bool") & (F.try_variant_get(self.v, "$", "boolean") == value)
-        if isinstance(value, str):
-            return self.kind("string") & (F.try_variant_get(self.v, "$", "string") == value)
-        if isinstance(value, (int, float, Decimal)):
-            return self.kind("number") & (_number(self.v) == _literal(value))
-        raise Uncovered("const of an array or object")
+        return self.kind("bool") & (F.try_variant_get(self.v, "$", "boolean") == value) if isinstance(value, bool) else self.kind("string") & (self.text == value)
 
     def enumerated(self, values: list) -> Column:
-        """One of several values; the texts among them are looked for together."""
-        texts = [x for x in values if isinstance(x, str)]
-        tests = [_true(self.same_scalar(x)) for x in values if not isinstance(x, str)]
-        if texts:
-            tests.append(_true(self.kind("string") & F.try_variant_get(self.v, "$", "string").isin(*texts)))
+        """One of several values; texts and words among them are looked for together."""
+        plain = [] if self.whole else [x for x in values if x is None or isinstance(x, (bool, str))]
+        tests = [_true(self.same_scalar(x)) for x in values if not any(x is p for p in plain)]
+        if plain:
+            tests.append(_true(self.told.isin(*map(write, plain))))
         return _fold(tests, False)
 
     def members(self) -> Column:
@@ -110,17 +124,17 @@ def _holds(schema: Any, place: _Place) -> Column:
 
 
 def _compile(schema: Any, v: Column) -> Column:
-    """Whether a VARIANT that is not null fits; it and its type are bound, so each is found once."""
+    """Whether a VARIANT that is not null fits; it and its JSON are bound, so each is found once."""
     if isinstance(schema, bool):
         return F.lit(schema)
-    return bind(v, lambda x: bind(F.schema_of_variant(x), lambda t: _holds(schema, _Place(x, t))))
+    return bind(v, lambda x: bind(F.to_json(x), lambda t: _holds(schema, _Place(x, t))))
 
 
 def _member_fits(schema: Any, v: Column) -> Column:
     """Whether a member or item is not there, or fits."""
     if isinstance(schema, bool):
         return F.lit(True) if schema else v.isNull()
-    return bind(v, lambda x: x.isNull() | bind(F.schema_of_variant(x), lambda t: _holds(schema, _Place(x, t))))
+    return bind(v, lambda x: x.isNull() | bind(F.to_json(x), lambda t: _holds(schema, _Place(x, t))))
 
 
 LIMITS: dict[str, tuple[str, str]] = {"minimum": ("number", "__ge__"), "maximum": ("number", "__le__"), "exclusiveMinimum": ("number", "__gt__"), "exclusiveMaximum": ("number", "__lt__"), "minLength": ("string", "__ge__"), "maxLength": ("string", "__le__"), "minItems": ("array", "__ge__"), "maxItems": ("array", "__le__"), "minProperties": ("object", "__ge__"), "maxProperties": ("object", "__le__")}
@@ -141,7 +155,7 @@ def rules(schema: Any, place: _Place) -> list[tuple[str, Column]]:
     for word, value in schema.items():
         if word in LIMITS:
             of, op = LIMITS[word]
-            measure = {"number": lambda: _number(v), "string": lambda: F.char_length(F.try_variant_get(v, "$", "string")), "array": lambda: F.size(items), "object": lambda: F.size(place.members())}[of]()
+            measure = {"number": lambda: place.number, "string": lambda: F.char_length(place.text), "array": lambda: F.size(items), "object": lambda: F.size(place.members())}[of]()
             limit = _literal(value) if of == "number" else _count(value) if op == "__ge__" else F.lit(int(Decimal(str(value)).to_integral_value(ROUND_FLOOR)))
             rule(word, of, getattr(measure, op)(limit))
         elif word == "type":
@@ -149,9 +163,9 @@ def rules(schema: Any, place: _Place) -> list[tuple[str, Column]]:
         elif word in ("enum", "const"):
             rule(word, None, place.enumerated(value if word == "enum" else [value]))
         elif word == "multipleOf":
-            rule(word, "number", F.lit(False) if value == 0 else _number(v) % _literal(value) == 0)
+            rule(word, "number", F.lit(False) if value == 0 else place.number % _literal(value) == 0)
         elif word == "pattern":
-            rule(word, "string", F.lit(False) if pattern(value) is None else F.try_variant_get(v, "$", "string").rlike(i_regexp(value)))
+            rule(word, "string", F.lit(False) if pattern(value) is None else place.text.rlike(i_regexp(value)))
         elif word == "required":
             rule(word, "object", _fold([place.member(n).isNotNull() for n in value], True))
         elif word == "dependentRequired":

@@ -15,6 +15,7 @@ from typing import Any
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from marlstone.operators.values import write
 from marlstone.plans.jsonpath import All, Call, Compare, Filter, Index, Literal, Name, Not, Path, Query, Slice, Some, Wild, i_regexp
 
 EMPTY = "array<variant>"
@@ -152,7 +153,6 @@ def _read(v: Column, kind_of: str) -> Column:
     return F.try_variant_get(v, "$", kind_of)
 
 
-SPARK_KINDS = {"number": NUMBER, "string": "string", "bool": "boolean"}
 OPERATIONS: dict[str, Callable[[Column, Column], Column]] = {"==": lambda a, b: a == b, "<": lambda a, b: a < b, "<=": lambda a, b: a <= b, ">": lambda a, b: a > b, ">=": lambda a, b: a >= b}
 TURNED = {"==": "==", "!=": "!=", "<": ">", "<=": ">=", ">": "<", ">=": "<="}
 
@@ -165,11 +165,6 @@ def _constant(v: Any) -> Column:
     return fitting(v) if _literal_kind(v) == "number" else F.lit(v)
 
 
-def _read_if(v: Column, kind: str, test: Callable[[Column], Column]) -> Column:
-    """A test of a value's reading where it is of a kind; the value is found once."""
-    return bind(v, lambda x: kind_is(x, kind) & test(_read(x, SPARK_KINDS[kind])))
-
-
 def _with_literal(x: Any, op: str, value: Any, current: Column, root: Column) -> Column:
     """A query or call against a literal: one reading, of the literal's kind."""
     kind, plain = _literal_kind(value), "==" if op == "!=" else op
@@ -177,13 +172,15 @@ def _with_literal(x: Any, op: str, value: Any, current: Column, root: Column) ->
         if x.name not in ("count", "length"):
             raise Unsupported(x.name)
         held = F.lit(False) if kind != "number" else OPERATIONS[plain](_call(x, current, root).cast(NUMBER), _constant(value))
-    elif kind == "null":
-        held = kind_is(_one(x, current, root), "null") if plain in ("==", "<=", ">=") else F.lit(False)
     else:
         v = _one(x, current, root)
-        # Kinds without order: only what is equal is at most, or at least, as large.
-        use = plain if kind in ("number", "string") else "==" if plain in ("==", "<=", ">=") else None
-        held = F.lit(False) if use is None else _read_if(v, kind, lambda y: OPERATIONS[use](y, _constant(value)))
+        written = F.to_json(v)  # tells the kind, and all of a value that is no array or object
+        if kind == "number":
+            held = OPERATIONS[plain](written.try_cast(NUMBER), _constant(value))
+        elif kind == "string" and plain != "==":
+            held = OPERATIONS[plain](F.when(written.startswith('"'), _read(v, "string")), F.lit(value))
+        else:  # of kinds without order, only what is equal is at most, or at least, as large
+            held = written == write(value) if plain in ("==", "<=", ">=") else F.lit(False)
     held = held.eqNullSafe(F.lit(True))
     return ~held if op == "!=" else held
 
