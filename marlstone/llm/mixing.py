@@ -140,7 +140,7 @@ def take(docs: DataFrame, seed: int = 0, id_col: str = "doc_id", text_col: str =
     counts = plan(rows, seed, id_col=name[id_col], text_col=name[text_col], mark=mark, **more)
     extra = F.when(F.col("size") > 0, F.round(F.col("part") / F.col("size")).cast("bigint")).otherwise(F.lit(0))
     counts = materialise(counts.select(F.col("mark").alias("of"), F.col("id").alias("of_id"), F.when(F.col("size") > 0, F.col("epochs")).otherwise(0).alias("each"), extra.alias("extra"), "copies").where("each > 0 or extra > 0"), "copies")
-    found = rows.withColumn("mark", mark).join(maybe_broadcast(counts, F.lit(40)), (F.col("mark") == F.col("of")) & F.col(name[id_col]).eqNullSafe(F.col("of_id")))
+    found = rows.withColumn("mark", mark).join(maybe_broadcast(counts, F.lit(40), 4 << 20), (F.col("mark") == F.col("of")) & F.col(name[id_col]).eqNullSafe(F.col("of_id")))
     # A row that stands once takes its extra turn itself; of equal rows one takes those of all.
     alone = _times(found, F.col("each") + F.when(F.col("copies") == 1, F.col("extra")).otherwise(0)).select(*held)
     equal = found.where("copies > 1 and extra > 0").groupBy("mark", "of_id").agg(F.first(F.struct(*held)).alias("row"), F.max("extra").alias("extra"))

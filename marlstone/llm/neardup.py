@@ -35,13 +35,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm._shared import as_bytes, fresh, join_counted, materialise, mix64, resident, slices
+from marlstone.llm._shared import as_bytes, fresh, join_counted, left_join_counted, materialise, mix64, resident, slices
 from marlstone.llm.bpe import Memo
 from marlstone.llm.components import components
 
 MINIMA = 128
 STEP = 16
 BLOCK = 4096  # members whose signatures meet, 512 bytes each
+HOT = 1_000_000  # rows of one key from which on it is joined apart
 BLOCK_BYTES = 4 << 20  # of full sets that meet
 
 _rng = np.random.default_rng(20)
@@ -348,8 +349,8 @@ def link(docs: DataFrame, k: int = 5, percent: int = 80, miss: float = 1e-6, id_
     bands, rows = banding(threshold, miss)
     least = least_matches(threshold, miss / (MINIMA // STEP))
     sketches = materialise(sketch(docs, k, id_col, text_col), "sketches")
-    classes = sketches.where("n > 0 and id is not null").groupBy("digest").agg(F.min("id").alias("rep"), F.min_by(F.struct("n", "sig"), "id").alias("s"))
-    classes = materialise(classes.select("digest", "rep", "s.n", "s.sig"), "classes")
+    classes = sketches.where("n > 0 and id is not null").groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.min_by(F.struct("n", "sig"), "id").alias("s"))
+    classes = materialise(classes.select("digest", "rep", "copies", "s.n", "s.sig"), "classes")
 
     keyed = _keyed(classes, bands, rows)
     centres = keyed.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("c"), F.count("*").alias("size")).where("size > 1").select("key", F.col("c.rep").alias("centre"), F.col("c.n").alias("centre_n"), "size")
@@ -363,9 +364,11 @@ def link(docs: DataFrame, k: int = 5, percent: int = 80, miss: float = 1e-6, id_
     if more.head(1):
         found = materialise(components(found.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more)), "components")
 
-    of_class = classes.select("digest", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
+    of_class = classes.select("digest", "rep", "copies").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("digest", "copies", F.coalesce("component", "rep").alias("component"))
     alone = sketches.where("n = 0").select("id", "n", F.col("id").alias("component_id"))
-    joined = sketches.where("n > 0").select("id", "n", "digest").join(of_class, "digest", "left").select("id", "n", F.col("component").alias("component_id"))
+    own = sketches.where("n > 0").select("id", "n", "digest")
+    own = left_join_counted(own, of_class, "digest", "copies", F.lit(120)) if sketches.count() >= HOT else own.join(of_class, "digest", "left")
+    joined = own.select("id", "n", F.col("component").alias("component_id"))
     out = joined.unionByName(alone)
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
@@ -379,9 +382,11 @@ def keep_first(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "do
     mine = fresh("row")
     rows = materialise(docs.withColumn(mine, F.monotonically_increasing_id()), "rows")
     found = materialise(link(rows, k, percent, id_col=mine, text_col=text_col, **more).select(F.col(mine).alias("row"), "component_id"), "found")
-    several = found.groupBy("component_id").agg(F.count("*").alias("n")).where("n > 1").select("component_id")
+    several = found.groupBy("component_id").agg(F.count("*").alias("n")).where("n > 1")
     ids = rows.select(F.col(mine).alias("row"), F.col(id_col).cast("bigint").alias("id"))
-    members = materialise(found.join(several, "component_id").join(ids, "row"), "members")
+    grouped = join_counted(found, several, "component_id", "n", found.count(), HOT)
+    members = materialise(grouped.select("component_id", "row").join(ids, "row"), "members")
+    # Tasks find the smallest of their own rows before any are sent.
     first = members.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("unknown"), "id", "row")).alias("f")).select(F.col("f.row").alias("row"))
     gone = members.join(first, "row", "left_anti").select(F.col("row").alias(mine))
     return rows.join(materialise(gone, "gone"), mine, "left_anti").select(*(rows[c] for c in docs.columns))

@@ -113,6 +113,17 @@ def test_clashing_names_and_a_long_text(spark):
     assert sorted(map(tuple, out.select("doc_id", "_row", "_gone", "component_id").collect())) == [(1, 0, "a", 1), (3, 0, "c", 3)]
 
 
+def test_hot_groups_are_joined_apart(spark, docs_of, monkeypatch):
+    """As with a million copies: the keys that stand often enough are broadcast, the others shuffled."""
+    monkeypatch.setattr(neardup, "HOT", 5)
+    monkeypatch.setattr(neardup, "left_join_counted", lambda *a: __import__("marlstone.llm._shared", fromlist=["x"]).left_join_counted(*a, hot=5, most_bytes=0))
+    rows = [(i, "one text that many rows hold") for i in range(9)] + [(20, "two rows hold this one"), (21, "two rows hold this one"), (30, "alone here in the table"), (None, "alone and without an id")]
+    out = {r["doc_id"]: r["component_id"] for r in neardup.link(docs_of(rows), 3, 85).collect()}
+    assert out == {**dict.fromkeys(range(9), 0), 20: 20, 21: 20, 30: 30, None: None}
+    kept = sorted((r["doc_id"] for r in neardup.keep_first(docs_of(rows), 3, 85).collect()), key=str)
+    assert kept == [0, 20, 30, None]
+
+
 def test_hubs_are_joined_apart(spark, monkeypatch):
     from marlstone.llm import _shared, components as C
 
