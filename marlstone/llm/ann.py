@@ -231,7 +231,7 @@ class Shard:
         return row[keep], other[keep], scores[keep]
 
 
-def search(vectors: DataFrame, k: int = 20, every: int = 20, shard_bytes: int = 96 << 20, degree: int = 32, beam: int = 160, id_col: str = "vec_id", vector_col: str = "embedding", shard_rows: int | None = None) -> DataFrame:
+def search(vectors: DataFrame, k: int = 20, every: int = 20, shard_bytes: int = 96 << 20, degree: int = 32, beam: int = 320, id_col: str = "vec_id", vector_col: str = "embedding", shard_rows: int | None = None) -> DataFrame:
     """(query_id, rank, id, score): the k nearest found of every row whose id is divisible by `every`.
 
     Each shard is built and searched in one task, from its rows and all queries; queries are sent
