@@ -174,7 +174,10 @@ def period_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- numbers ----------------------------------------------------------------------------------
 
 CENTS = "CAST(round(l_extendedprice * 100) AS BIGINT)"
-PRICE = C("l_extendedprice").cast("decimal(12,2)")
+
+
+def exact_price() -> Column:
+    return C("l_extendedprice").cast("decimal(12,2)")
 
 
 def _plain(whole: str, part: str, places: int) -> str:
@@ -185,7 +188,7 @@ def _plain(whole: str, part: str, places: int) -> str:
 @query(f"""SELECT {KEY}, {_plain('q // 1000000000000', 'q % 1000000000000', 12)} AS quotient, {_plain('s // 100', 's % 100', 2)} AS sum, {_plain('g // 100', 'g % 100', 2)} AS gcd, CAST(c AS VARCHAR) AS twice, c > 100 * l_partkey AS more FROM
  (SELECT *, {CENTS} AS c, CAST({CENTS} AS HUGEINT) * 10000000000 // (l_partkey + 1) AS q, {CENTS} + 1999 AS s, gcd({CENTS}, 250) AS g FROM lineitem)""")
 def decimal_arithmetic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    price = text_of(PRICE)
+    price = text_of(exact_price())
     hundred = numeric.big("multiply", price, F.lit("100"))
     return lines(spark, sf_dir, numeric.big("divide", price, C("l_partkey") + 1).alias("quotient"), numeric.big("add", price, F.lit("19.99")).alias("sum"), numeric.big("gcd", price, F.lit("2.5")).alias("gcd"), hundred.alias("twice"), (numeric.big_compare(price, C("l_partkey")) > 0).alias("more"))
 
@@ -206,16 +209,16 @@ ORACLE_SQL["decimal_units"] = ORACLE_SQL["decimal_units"].replace("THEN CAST(-o_
 @query(f"""SELECT {KEY}, {_plain('c // 100', 'c % 100', 2)} AS stripped, CAST(CAST(round(CAST(c / 100.0 AS DECIMAL(14,2)), 1) AS DECIMAL(14,1)) AS VARCHAR) AS one, CASE WHEN l_orderkey % 2 = 0 THEN CAST(c / 100.0 AS DECIMAL(12,2)) END = CAST(c / 100.0 AS DECIMAL(12,2)) AS parsed,
  format('{{:,}}', c // 100) || '.' || lpad(CAST(c % 100 AS VARCHAR), 2, '0') AS shown, '+' || CAST(c // 100 AS VARCHAR) || '.' || lpad(CAST(c % 100 AS VARCHAR), 2, '0') || '00' AS padded FROM (SELECT *, {CENTS} AS c FROM lineitem)""")
 def decimal_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    price = text_of(PRICE)
+    price = text_of(exact_price())
     one = numeric.formatted(numeric.big_rounded(price, 1, "nearest_or_away"), grouping=False, fraction=(1, 1))
     odd = F.concat(price, F.when(C("l_orderkey") % 2 == 0, "").otherwise("x"))
-    return lines(spark, sf_dir, numeric.stripped(PRICE).alias("stripped"), one.alias("one"), (numeric.parse_decimal(odd, "decimal(12,2)") == PRICE).alias("parsed"), numeric.formatted(PRICE).alias("shown"), numeric.formatted(PRICE, grouping=False, sign="always", fraction=(4, 4)).alias("padded"))
+    return lines(spark, sf_dir, numeric.stripped(exact_price()).alias("stripped"), one.alias("one"), (numeric.parse_decimal(odd, "decimal(12,2)") == exact_price()).alias("parsed"), numeric.formatted(exact_price()).alias("shown"), numeric.formatted(exact_price(), grouping=False, sign="always", fraction=(4, 4)).alias("padded"))
 
 
 @query(f"""SELECT {KEY}, CASE WHEN {CENTS} % 100 = 0 THEN CAST({CENTS} // 100 AS BIGINT) END AS exact, CAST(least(l_partkey, 127) AS BIGINT) AS clamped, CAST(length(CAST({CENTS} AS VARCHAR)) AS BIGINT) AS digits, CAST(64 - CASE WHEN l_partkey = 0 THEN 0 ELSE length(bin(l_partkey)) END AS BIGINT) AS leading, CAST(CASE WHEN l_partkey = 0 THEN 64 ELSE length(bin(l_partkey)) - length(rtrim(bin(l_partkey), '0')) END AS BIGINT) AS trailing FROM lineitem""")
 def integer_fitting(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = C("l_partkey")
-    return lines(spark, sf_dir, numeric.exactly(PRICE, "bigint").alias("exact"), big(numeric.clamped(p, 8)).alias("clamped"), big(numeric.digit_count((PRICE * 100).cast("decimal(14,0)"))).alias("digits"), big(numeric.leading_zeros(p)).alias("leading"), big(numeric.trailing_zeros(p)).alias("trailing"))
+    return lines(spark, sf_dir, numeric.exactly(exact_price(), "bigint").alias("exact"), big(numeric.clamped(p, 8)).alias("clamped"), big(numeric.digit_count((exact_price() * 100).cast("decimal(14,0)"))).alias("digits"), big(numeric.leading_zeros(p)).alias("leading"), big(numeric.trailing_zeros(p)).alias("trailing"))
 
 
 @query("""SELECT o_orderkey, CAST(a & b AS VARCHAR) AS both, CAST(a | b AS VARCHAR) AS either, CAST(xor(a, b) AS VARCHAR) AS one, CAST(-a - 1 AS VARCHAR) AS flipped, CAST(a * 1024 AS VARCHAR) AS up, CAST(a // 1024 AS VARCHAR) AS down, lpad(to_hex(a), CAST(2 * ((length(to_hex(a)) + 1) // 2) AS INT), '0') AS bytes, CAST(a - b AS VARCHAR) AS back, CAST(a + b AS VARCHAR) AS sum FROM
