@@ -1,10 +1,11 @@
 """Operator 1: byte-level BPE encoding and decoding with a segment tree of pair ranks.
 
-Each distinct pre-token is merged once per worker. Its adjacent pairs are the leaves of a
-minimum tree; a leaf holds rank and position in one integer, so the root is the leftmost pair
-of the lowest rank. A merge rewrites three leaves in logarithmic time, and the loop ends when
-the root says that nothing can be merged. A pre-token of n bytes takes O(n log n), so one
-endless word costs no more a byte than prose does.
+Each distinct pre-token is merged once per worker, as long as its memory holds it. Its adjacent
+pairs are the leaves of a minimum tree; a leaf holds rank and position in one integer, so the
+root is the leftmost pair of the lowest rank. A merge rewrites three leaves in logarithmic time,
+and the loop ends when the root says that nothing can be merged. A pre-token of n bytes takes
+O(n log n), so one endless word costs no more a byte than prose does. The pre-tokens that a run
+of texts brings are merged side by side: a row of an array is the tree of one of them.
 
 Inputs: null texts count as empty and give no ids. Repeated rows give repeated results. Only
 the id and the text column are read, so further columns may have any name. An empty table
@@ -18,7 +19,7 @@ import json
 import re
 from array import array
 from collections.abc import Callable, Iterable, Iterator
-from itertools import islice
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,13 @@ PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 _MARKS = frozenset(".,;:!?")
+#: Texts are encoded together until they have this many letters; longer ones are cut between chunks.
+LETTERS = 1 << 20
+
+#: Pre-tokens of up to this many bytes are merged side by side, this many in one array.
+SHORT, ROWS = 65, 4096
+
+_EDGE = re.compile(f"(?<=[^{SPACE}])[{SPACE}]")
 _CHUNK = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
 _ODD_SPACE = re.compile("[\t\x0b-\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _PIECES = regex.compile(PIECES.replace(r"[^\s\p{L}\p{N}]", rf"[^{SPACE}\p{{L}}\p{{N}}]").replace(r"\s", f"[{SPACE}]").replace(r"\S", f"[^{SPACE}]"))
@@ -59,6 +67,18 @@ class Memo(dict):
             self[key] = value
         return value
 
+    def unknown(self, keys: Iterable[str]) -> list[str]:
+        """The distinct keys that are not remembered and would be."""
+        old = self.old
+        return [k for k in set(keys) if k not in self and k not in old and len(k) <= 64]
+
+    def learn(self, keys: Iterable[str], values: Iterable[bytes]) -> None:
+        for key, value in zip(keys, values, strict=True):
+            if len(self) >= self.most:
+                self.old = dict(self)
+                self.clear()
+            self[key] = value
+
 
 class Chunker:
     """Joins what `make` gives, as bytes, for each pre-token of a text; results are remembered by chunk.
@@ -67,8 +87,8 @@ class Chunker:
     every white space is a lone blank or line feed, str.split finds them; else a pattern does.
     """
 
-    def __init__(self, make: Callable[[str], bytes], remember: int):
-        self.make = make
+    def __init__(self, make: Callable[[str], bytes], remember: int, make_all: Callable[[list[str]], Iterable[bytes]] | None = None):
+        self.make, self.make_all = make, make_all or (lambda found: map(make, found))
         self.exact = Memo(self._learn, remember // 4)
         self.blank = Memo(lambda part: self._learn(part if part[:1] == "\n" else " " + part), remember)
 
@@ -76,15 +96,84 @@ class Chunker:
         parts = pieces(chunk)
         if len(parts) == 1:
             return self.make(chunk)
+        return self._join(parts)
+
+    def _join(self, parts: list[str]) -> bytes:
         # A piece that begins with a blank is a chunk itself, and known as such.
         return b"".join([self.blank[p[1:]] if p[0] == " " and p[1:2] not in ("", "\n") else self.exact[p] for p in parts])
 
-    def __call__(self, text: str) -> bytes:
+    @staticmethod
+    def _cut(text: str) -> tuple[list[str], list[str]]:
+        """Chunks of a text: first those that are known as they are, then those known without their blank."""
         if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or _ODD_SPACE.search(text):
-            return b"".join(map(self.exact.__getitem__, _CHUNK.findall(text)))
-        first, *rest = text.replace("\n", " \n").split(" ")
-        start = self.exact[first] if first else b""
-        return start + b"".join(map(self.blank.__getitem__, rest))
+            return _CHUNK.findall(text), []
+        rest = text.replace("\n", " \n").split(" ")
+        first = rest.pop(0)
+        return [first] if first else [], rest
+
+    def __call__(self, text: str) -> bytes:
+        exact, blank = self._cut(text)
+        return b"".join(chain(map(self.exact.__getitem__, exact), map(self.blank.__getitem__, blank)))
+
+    def each(self, texts: Iterable[str]) -> Iterator[bytes]:
+        """What each text gives; what about LETTERS letters of them bring anew is made at once."""
+        held: list[str] = []
+        letters = 0
+        for text in texts:
+            if letters + len(text) > LETTERS:
+                yield from self._together(held)
+                held, letters = [], 0
+            if len(text) > LETTERS:
+                yield b"".join(chain.from_iterable(self._together([part]) for part in stretches(text)))
+            else:
+                held.append(text)
+                letters += len(text)
+        yield from self._together(held)
+
+    def _together(self, texts: list[str]) -> Iterator[bytes]:
+        cuts = list(map(self._cut, texts))
+        self._prepare(cuts)
+        for exact, blank in cuts:
+            yield b"".join(chain(map(self.exact.__getitem__, exact), map(self.blank.__getitem__, blank)))
+
+    def _prepare(self, cuts: list[tuple[list[str], list[str]]]) -> None:
+        """Learn the chunks that are not known, their pre-tokens all at once."""
+        exact, blank = {}, {}  # key: pre-token
+        several: list[tuple[Memo, str, list[str]]] = []
+        for c in self.blank.unknown(chain.from_iterable(b for _, b in cuts)):
+            if c.isalpha():
+                blank[c] = " " + c
+                continue
+            parts = pieces(c if c[:1] == "\n" else " " + c)
+            if len(parts) == 1:
+                blank[c] = parts[0]
+            else:
+                several.append((self.blank, c, parts))
+        for c in self.exact.unknown(chain.from_iterable(e for e, _ in cuts)):
+            parts = pieces(c)
+            if len(parts) == 1:
+                exact[c] = c
+            else:
+                several.append((self.exact, c, parts))
+        parts = set(chain.from_iterable(p for _, _, p in several))
+        spaced = {p for p in parts if p[0] == " " and p[1:2] not in ("", "\n")}
+        blank |= {k: " " + k for k in self.blank.unknown(p[1:] for p in spaced)}
+        exact |= {k: k for k in self.exact.unknown(parts - spaced)}
+        made = iter(self.make_all([*blank.values(), *exact.values()]))
+        self.blank.learn(blank, islice(made, len(blank)))
+        self.exact.learn(exact, made)
+        for memo, c, p in several:
+            memo.learn([c], [self._join(p)])
+
+
+def stretches(text: str) -> Iterator[str]:
+    """Parts of a long text, of about LETTERS letters each, cut where white space follows something else."""
+    at = 0
+    while at < len(text):
+        edge = _EDGE.search(text, at + LETTERS)
+        end = edge.start() if edge else len(text)
+        yield text[at:end]
+        at = end
 
 
 def pieces(chunk: str) -> list[str]:
@@ -177,6 +266,118 @@ class MergeTree:
         return out
 
 
+class PairRanks:
+    """Ranks of pairs of ids for whole arrays: a hash table with open addresses."""
+
+    def __init__(self, ranks: dict[tuple[int, int], int], size: int, never: int):
+        self.size, self.never, self.bits = size, never, max(4, (4 * len(ranks)).bit_length())
+        pairs = np.array(list(ranks), np.int64).reshape(-1, 2)
+        todo, rank = pairs[:, 0] * size + pairs[:, 1], np.array(list(ranks.values()), np.int64)
+        self.keys, self.ranks = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, never, np.int64)
+        slot = self._slot(todo)
+        while len(todo):
+            free = self.keys[slot] < 0
+            self.keys[slot[free]] = todo[free]  # of several keys for a slot the last one stays
+            placed = self.keys[slot] == todo
+            self.ranks[slot[placed]] = rank[placed]
+            todo, rank, slot = todo[~placed], rank[~placed], self._next(slot[~placed])
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def _next(self, slot: np.ndarray) -> np.ndarray:
+        return (slot + 1) & ((1 << self.bits) - 1)
+
+    def __call__(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of each pair, or `never`; an id below zero is in no pair."""
+        key = left.astype(np.int64) * self.size + right
+        key[(left < 0) | (right < 0)] = -2
+        slot = self._slot(key)
+        found = self.keys[slot]
+        other = found != key
+        out = np.where(other, self.never, self.ranks[slot])
+        far = np.flatnonzero(other & (found >= 0))
+        while len(far):
+            slot_far = self._next(slot[far])
+            slot[far] = slot_far
+            found = self.keys[slot_far]
+            hit = found == key[far]
+            out[far[hit]] = self.ranks[slot_far[hit]]
+            far = far[~hit & (found >= 0)]
+        return out
+
+
+class MergeTrees:
+    """Merges of many short pre-tokens: row r of `tree` is the minimum tree of one, as MergeTree has it.
+
+    Each round takes the root of every row that can still be merged and rewrites its three leaves.
+    """
+
+    def __init__(self, ids: np.ndarray, ranks: PairRanks, made: np.ndarray):
+        """ids: a row for each pre-token, filled up with -1; their number is a power of two and one."""
+        rows, n = ids.shape
+        self.width = width = n - 1
+        self.rows, self.ranks, self.made = rows, ranks, made
+        self.never = ranks.never * width
+        # One column more: what lies behind the last id, and before the first.
+        self.stride = n + 1
+        self.ids = np.full((rows, self.stride), -1, np.int64)
+        self.ids[:, :n] = ids
+        self.next = np.tile(np.arange(1, n + 2), (rows, 1))
+        self.last = np.tile(np.arange(-1, n), (rows, 1))
+        self.tree = np.full((rows, 2 * width), self.never, np.int64)
+        place = np.tile(np.arange(width), (rows, 1))
+        self.tree[:, width:] = self._keys(ids[:, :-1].ravel(), ids[:, 1:].ravel(), place.ravel()).reshape(rows, width)
+        while width > 1:
+            self.tree[:, width // 2 : width] = np.minimum(self.tree[:, width : 2 * width : 2], self.tree[:, width + 1 : 2 * width : 2])
+            width //= 2
+
+    def _keys(self, left: np.ndarray, right: np.ndarray, place: np.ndarray) -> np.ndarray:
+        rank = self.ranks(left, right)
+        return np.where(rank == self.ranks.never, self.never, rank * self.width + place)
+
+    def _put(self, rows: np.ndarray, place: np.ndarray, keys: np.ndarray) -> None:
+        """Write one leaf of each of the rows, and the nodes above it."""
+        tree, base, node = self.tree.reshape(-1), rows * (2 * self.width), place + self.width
+        tree[base + node] = keys
+        for _ in range(self.width.bit_length() - 1):
+            beside = tree[base + (node ^ 1)]
+            keys = np.minimum(keys, beside)
+            node = node >> 1
+            tree[base + node] = keys
+
+    def run(self) -> list[bytes]:
+        """For each pre-token the ids that are left when nothing can be merged, as 32-bit integers."""
+        ids, after_of, before_of = self.ids.reshape(-1), self.next.reshape(-1), self.last.reshape(-1)
+        rows = np.arange(self.rows)
+        while True:
+            root = self.tree[rows, 1]
+            going = root < self.never
+            rows, root = rows[going], root[going]
+            if not len(rows):
+                break
+            rank, i = np.divmod(root, self.width)
+            base = rows * self.stride
+            gone = after_of[base + i]
+            after = after_of[base + gone]
+            made = self.made[rank]
+            ids[base + i] = made
+            ids[base + gone] = -1
+            after_of[base + i] = after
+            before_of[base + after] = i
+            before = before_of[base + i]
+            leaf = gone < self.width
+            self._put(rows[leaf], gone[leaf], np.full(int(leaf.sum()), self.never))
+            self._put(rows, i, self._keys(made, ids[base + after], i))
+            leaf = before >= 0
+            at = before[leaf]
+            self._put(rows[leaf], at, self._keys(ids[base[leaf] + at], made[leaf], at))
+        left = self.ids >= 0
+        ends = (4 * np.cumsum(left.sum(axis=1))).tolist()
+        data = self.ids[left].astype(np.uint32).tobytes()
+        return [data[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+
 class Codec:
     """Encoder and decoder of a tokenizer file: byte-level BPE with added tokens."""
 
@@ -204,7 +405,30 @@ class Codec:
             self.bytes_of[i] = text.encode()
         self.digits = [str(i) for i in range(size)]
         self._added = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
-        self._ids = Chunker(self.merge, remember)
+        self._ids = Chunker(self.merge, remember, self.merge_all)
+        self._first, self._made = np.array(self.first), np.array(self.made, np.int64)
+        self._ranks = PairRanks(self.ranks, size, len(self.made) + 1)
+
+    def merge_all(self, found: list[str]) -> list[bytes]:
+        """Ids of each of many pre-tokens, as merge gives them; the short ones of about one length side by side."""
+        coded = [p.encode() for p in found]
+        sizes = np.fromiter(map(len, coded), np.int64, len(coded))
+        out: list[bytes] = [b""] * len(found)
+        for i in np.flatnonzero(sizes > SHORT).tolist():
+            out[i] = self.merge(found[i])
+        width = 1
+        while width < SHORT:
+            least = 0 if width == 1 else width // 2 + 1
+            group = np.flatnonzero((sizes > least) & (sizes <= width + 1))
+            for at in range(0, len(group), ROWS):
+                rows = group[at : at + ROWS].tolist()
+                data = np.frombuffer(b"".join([coded[i] for i in rows]), np.uint8)
+                ids = np.full((len(rows), width + 1), -1, np.int64)
+                ids[np.arange(width + 1) < sizes[rows][:, None]] = self._first[data]
+                for i, value in zip(rows, MergeTrees(ids, self._ranks, self._made).run(), strict=True):
+                    out[i] = value
+            width *= 2
+        return out
 
     def merge(self, piece: str) -> bytes:
         """Ids of one pre-token, as 32-bit integers."""
@@ -219,10 +443,20 @@ class Codec:
         """Ids of a text, as 32-bit integers; the strings of added tokens become their ids."""
         if not text:
             return b""
-        if self._added is None or not any(t in text for t in self.added):
+        if not self._marked(text):
             return self._ids(text)
         return b"".join(array("I", [self.added[part]]).tobytes() if part in self.added else self._ids(part) if part else b"" for part in self._added.split(text))
 
+    def encode_all(self, texts: list[str | None]) -> Iterator[bytes]:
+        """Ids of each text, as encode_bytes gives them; new pre-tokens of many texts are merged side by side."""
+        marked = [self._marked(t) for t in texts]
+        plain = self._ids.each(t or "" for t, m in zip(texts, marked, strict=True) if not m)
+        for text, m in zip(texts, marked, strict=True):
+            yield self.encode_bytes(text) if m else next(plain)
+
+    def _marked(self, text: str | None) -> bool:
+        return bool(text) and any(t in text for t in self.added)
+
     def encode(self, text: str | None) -> list[int]:
         return np.frombuffer(self.encode_bytes(text), "u4").tolist()
 
@@ -246,7 +480,7 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
         for b in slices(batches, "text"):
-            coded = [c.encode_bytes(t) for t in b.column(1).to_pylist()]
+            coded = list(c.encode_all(b.column(1).to_pylist()))
             sizes = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
             starts = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
             ids = pa.ListArray.from_arrays(starts, pa.array(np.frombuffer(b"".join(coded), np.int32)))
@@ -279,8 +513,8 @@ def digest_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
         c = codec(path)
         for b in slices(batches, "text"):
             counts, coded, plain = [], [], []
-            for text in b.column(1).to_pylist():
-                ids = c.encode(text)
+            for raw in c.encode_all(b.column(1).to_pylist()):
+                ids = np.frombuffer(raw, "u4").tolist()
                 counts.append(len(ids))
                 coded.append(hashlib.sha256(",".join(map(c.digits.__getitem__, ids)).encode()).hexdigest())
                 plain.append(hashlib.sha256(c.decode(ids).encode()).hexdigest())
