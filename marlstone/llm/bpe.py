@@ -90,7 +90,14 @@ class Chunker:
     def __init__(self, make: Callable[[str], bytes], remember: int, make_all: Callable[[list[str]], Iterable[bytes]] | None = None):
         self.make, self.make_all = make, make_all or (lambda found: map(make, found))
         self.exact = Memo(self._learn, remember // 4)
-        self.blank = Memo(lambda part: self._learn(part if part[:1] == "\n" else " " + part), remember)
+        self.blank = Memo(self._learn_blank, remember)
+
+    def _learn_blank(self, part: str) -> bytes:
+        if part.isalpha():
+            return self.make(" " + part)
+        if part[-1:] in _MARKS and part[:-1].isalpha():
+            return self.blank[part[:-1]] + self.exact[part[-1]]
+        return self._learn(part if part[:1] == "\n" else " " + part)
 
     def _learn(self, chunk: str) -> bytes:
         parts = pieces(chunk)

@@ -224,7 +224,7 @@ class LibraryEncoder:
     whole.
     """
 
-    def __init__(self, path: str, remember: int = 200_000):
+    def __init__(self, path: str, remember: int = 400_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 

@@ -90,3 +90,15 @@ def test_rows_of_one_id_and_a_long_text(spark, docs_of):
     assert len(out) == len(rows) and max(r["n_tokens"] for r in out) > 200_000
     spans = sorted((r["start"], r["n_tokens"], r["doc_id"]) for r in out)
     assert all(a[0] + a[1] == b[0] for a, b in zip(spans, spans[1:], strict=False)) and [s[2] for s in spans] == [None, *[1] * 31, 2]
+
+
+def test_words_of_a_large_vocabulary_are_asked_for_once():
+    """As many distinct words as a worker meets in some 20 MB of text, and each with a mark behind it."""
+    from itertools import islice, product
+
+    encoder, asked = dac.LibraryEncoder(PATH), []
+    encoder._ids.make = lambda piece: (asked.append(piece), b"\1\0\0\0")[1]
+    text = "first " + " ".join(map("".join, islice(product("abcdefghijklmnopqrstuvwxyz", repeat=4), 399_000)))
+    assert len(encoder(text)) == 399_001 == len(asked)
+    assert len(encoder(text)) == 399_001 == len(asked)
+    assert len(encoder("first aaab, aaac.")) == 5 and asked[399_001:] == [",", "."]
