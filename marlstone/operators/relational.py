@@ -44,6 +44,21 @@ def levels(df: DataFrame, keys: list[str], aggregates: list[Column], every: bool
     return grouped.agg(F.grouping_id().alias("level"), *aggregates)
 
 
+def levels_of_values(df: DataFrame, keys: list[str], value: str, aggregates: list[Column], every: bool = False) -> DataFrame:
+    """levels() whose aggregates see each value of a choice of keys once, with its number of rows there in `n`.
+
+    So values are counted and sketched by plain aggregates. Beside a distinct aggregate Spark would
+    keep a state of each other one, a sketch of 13 kB, for each value. Rows are counted before they
+    are sent, and once more sent by their value alone, so the choices of keys need no shuffle.
+    """
+    bits = [(1 << i) - 1 for i in range(len(keys) + 1)] if not every else list(range(1 << len(keys)))
+    kept = lambda bit, i: not bit >> (len(keys) - 1 - i) & 1
+    choice = lambda bit: F.struct(F.lit(bit).cast("bigint").alias("level"), *(F.when(F.lit(kept(bit, i)), F.col(f"`{k}`")).alias(k) for i, k in enumerate(keys)))
+    counted = df.groupBy(*keys, value).agg(F.count("*").alias("n")).repartition(value)
+    chosen = counted.select(F.explode(F.array(*map(choice, bits))).alias("_choice"), value, "n").select("_choice.*", value, "n")
+    return chosen.groupBy(*keys, "level", value).agg(F.sum("n").alias("n")).groupBy(*keys, "level").agg(*aggregates)
+
+
 def distinct_about(value: Column, error: float = 0.01) -> Column:
     """About how many different values there are, by a sketch of fixed size."""
     return F.approx_count_distinct(value, error)
