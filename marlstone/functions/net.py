@@ -53,6 +53,11 @@ def is_ipv6(text: Column) -> Column:
     return F.coalesce(text.rlike(_IPV6), F.lit(False))
 
 
+def ipv6_groups(number: Column) -> Column:
+    """The last groups of an address that ends in a number: hexadecimal, four digits to a group, as many as it takes."""
+    return F.regexp_replace(F.hex(number), r"(?<=.)(?=(?:.{4})+\z)", ":")
+
+
 @F.pandas_udf(StringType())
 def ipv6_canonical(text: pd.Series) -> pd.Series:
     """Shortest lower-case form of RFC 5952; null if the text is no address."""

@@ -21,3 +21,10 @@ def compare(spark, folder, name, table, rows, schema):
 def test_dates_of_five_digit_years(spark, tmp_path):
     keys = [1, 146_645, 146_646, 146_647, 899_999, 107_374_182]
     compare(spark, tmp_path, "date_fields", "orders", [(k, k, dt.datetime(1996, 2, 29)) for k in keys], "o_orderkey long, o_custkey long, o_orderdate timestamp")
+
+
+WIDE_KEYS = [1, 2, 9, 65_534, 65_535, 65_536, 65_537, 65_538, 131_071, 1_048_575, 1_048_576, 1 << 31, (1 << 32) - 1, 1 << 32, (1 << 48) + 6]
+
+
+def test_addresses_of_several_groups(spark, tmp_path):
+    compare(spark, tmp_path, "formats_net", "customer", [(k,) for k in WIDE_KEYS], "c_custkey long")
